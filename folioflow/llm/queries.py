@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from folioflow.llm import mixing, packing, tokens
+from folioflow.llm import jaccard, mixing, packing, tokens
 
-MODULES = (tokens, packing, mixing)
+MODULES = (tokens, jaccard, packing, mixing)
 
 
 def queries() -> dict:
