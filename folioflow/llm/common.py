@@ -108,7 +108,7 @@ def packed(values: np.ndarray, offsets: np.ndarray) -> list[bytes]:
 
 
 def write_sorted(df: DataFrame, what: str, values: tuple[str, ...] = ()) -> list[dict]:
-    """Writes column `k` (long), sorted, and float `values` beside it as .npy files; returns their list.
+    """Writes column `k` (long), sorted, and `values` (long or float) beside it as .npy files; returns their list.
 
     The files are ranges of the sorted whole: range partitioning, one file a task. Tasks
     write under a name of their own and rename, so a repeated task does no harm. Only the
@@ -126,7 +126,7 @@ def write_sorted(df: DataFrame, what: str, values: tuple[str, ...] = ()) -> list
         filesystem, inner = pafs.FileSystem.from_uri(root)
         part = uuid.uuid4().hex
         for name in names:
-            array = table.column(name).to_numpy().astype(np.int64 if name == "k" else np.float32)
+            array = table.column(name).to_numpy()
             with filesystem.open_output_stream(f"{inner}/{part}.{name}.tmp") as out:
                 np.save(_Sink(out), array)
             filesystem.move(f"{inner}/{part}.{name}.tmp", f"{inner}/{part}.{name}.npy")
@@ -134,7 +134,7 @@ def write_sorted(df: DataFrame, what: str, values: tuple[str, ...] = ()) -> list
         yield pa.RecordBatch.from_pydict({"part": [part], "lo": [int(keys[0])], "hi": [int(keys[-1])]})
 
     done = (
-        df.select(F.col("k").cast("long").alias("k"), *[F.col(v).cast("float").alias(v) for v in values])
+        df.select(F.col("k").cast("long").alias("k"), *values)
         .repartitionByRange("k")
         .sortWithinPartitions("k")
         .mapInArrow(write, "part string, lo long, hi long")
@@ -187,9 +187,9 @@ class Sorted:
             found[own] = hit
         return found
 
-    def values(self, keys: np.ndarray, *names: str) -> tuple[np.ndarray, ...]:
-        """A float array for each name, NaN where the key is absent."""
-        out = tuple(np.full(len(keys), np.nan, dtype=np.float32) for _ in names)
+    def values(self, keys: np.ndarray, *names: str, absent=np.nan, kind=np.float32) -> tuple[np.ndarray, ...]:
+        """An array for each name, `absent` where the key is absent."""
+        out = tuple(np.full(len(keys), absent, dtype=kind) for _ in names)
         for own, file, at, hit in self.places(keys):
             for o, name in zip(out, names):
                 o[own[hit]] = _array(file["root"], f"{file['part']}.{name}.npy")[at[hit]]

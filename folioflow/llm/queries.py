@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from folioflow.llm import jaccard, mixing, packing, tokens
+from folioflow.llm import jaccard, langid, lines, mixing, packing, tokens
 
-MODULES = (tokens, jaccard, packing, mixing)
+MODULES = (tokens, jaccard, lines, packing, langid, mixing)
 
 
 def queries() -> dict:
