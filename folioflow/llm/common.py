@@ -246,3 +246,9 @@ def components(edges: DataFrame) -> DataFrame:
                 now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             )
         last = (state["n"], state["s"])
+
+
+def aside(df: DataFrame, names: set[str]) -> tuple[DataFrame, dict[str, str]]:
+    """`df` with columns of the given names put aside under others, and how to name them back."""
+    clash = {c: f"__own_{c}" for c in df.columns if c in names}
+    return df.withColumnsRenamed(clash), {v: k for k, v in clash.items()}

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from folioflow.llm import jaccard, langid, lines, mixing, neardup, packing, quality, tokens
+from folioflow.llm import chat, jaccard, langid, licenses, lines, mixing, neardup, packing, quality, tokens
 
-MODULES = (tokens, jaccard, neardup, lines, quality, packing, langid, mixing)
+MODULES = (tokens, jaccard, neardup, lines, licenses, quality, packing, chat, langid, mixing)
 
 
 def queries() -> dict:
