@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-MODULES: tuple = ()
+from folioflow.plans import text_queries
+
+MODULES = (text_queries,)
 
 
 def queries() -> dict:
