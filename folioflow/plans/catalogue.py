@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from folioflow.plans import text_queries
+from folioflow.plans import span_queries, text_queries
 
-MODULES = (text_queries,)
+MODULES = (text_queries, span_queries)
 
 
 def queries() -> dict:
