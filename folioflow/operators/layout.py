@@ -15,7 +15,7 @@ KEYS = ("doc_id", "page")
 def upper_median(c: str | Column) -> Column:
     """Aggregate: the value at index n div 2 of the sorted values."""
     values = F.array_sort(F.collect_list(c))
-    return F.element_at(values, F.floor(F.size(values) / 2).cast("int") + 1)
+    return F.get(values, F.floor(F.size(values) / 2).cast("int"))
 
 
 def page_profile(chars: DataFrame, keys=KEYS, page_width: float = 612.0, page_height: float = 792.0) -> DataFrame:
@@ -195,20 +195,19 @@ def xy_cut(blocks: DataFrame, keys=KEYS, least: float = 50.0, sigma: float = 2.0
 # --- tables -------------------------------------------------------------------------------------
 
 
-def _positions(blocks: DataFrame, keys, axis: str, tolerance: float, least: int) -> DataFrame:
-    """(keys, axis_no, sequence): blocks in islands of one coordinate that hold at least `least` blocks."""
+def _numbered(blocks: DataFrame, keys, axis: str, tolerance: float) -> DataFrame:
+    """Adds {axis}_no, the island of the coordinate, and {axis}_size, how many blocks it holds."""
     w = Window.partitionBy(*keys).orderBy(axis)
-    rows = blocks.withColumn("__s", F.coalesce(F.col(axis) - F.lag(axis).over(w) > tolerance, F.lit(True)).cast("int")).withColumn("no", F.sum("__s").over(w))
-    sized = rows.withColumn("size", F.count("*").over(Window.partitionBy(*keys, "no")))
-    return sized.where(F.col("size") >= least).select(*keys, F.col("no").alias(f"{axis}_no"), "sequence")
+    step = F.coalesce(F.col(axis) - F.lag(axis).over(w) > tolerance, F.lit(True)).cast("int")
+    rows = blocks.withColumn("__s", step).withColumn(f"{axis}_no", F.sum("__s").over(w)).drop("__s")
+    return rows.withColumn(f"{axis}_size", F.count("*").over(Window.partitionBy(*keys, f"{axis}_no")))
 
 
 def aligned_tables(blocks: DataFrame, keys=KEYS, x_tolerance=5.0, y_tolerance=3.0, columns=3, rows=2, least=4) -> DataFrame:
     """(keys, num_rows, num_cols, cells, x, y, width, height): a page's table of blocks that stand in aligned columns (with at
     least `rows` blocks) and aligned rows (with at least `columns`)."""
     keys = list(keys)
-    cols, lines = _positions(blocks, keys, "x", x_tolerance, rows), _positions(blocks, keys, "y", y_tolerance, columns)
-    cells = blocks.join(cols, [*keys, "sequence"]).join(lines, [*keys, "sequence"])
+    cells = _numbered(_numbered(blocks, keys, "x", x_tolerance), keys, "y", y_tolerance).where((F.col("x_size") >= rows) & (F.col("y_size") >= columns))
     table = cells.groupBy(*keys).agg(
         F.count_distinct("y_no").alias("num_rows"), F.count_distinct("x_no").alias("num_cols"), F.count("*").alias("cells"),
         F.min("x").alias("x"), F.min("y").alias("y"), (F.max(F.col("x") + F.col("width")) - F.min("x")).alias("width"), (F.max(F.col("y") + F.col("height")) - F.min("y")).alias("height"),

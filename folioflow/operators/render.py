@@ -57,7 +57,7 @@ def semantic_html(spans: DataFrame, keys=KEYS) -> DataFrame:
 
 
 def layout_html(spans: DataFrame, keys=KEYS, page_height: float = 792.0) -> DataFrame:
-    number = lambda c: F.format_number(c, "0.0")
+    number = lambda c: F.format_string("%.1f", c)
     top = F.lit(page_height) - F.col("y") - F.col("height")
     weight = F.when(F.col("bold"), F.lit(";font-weight:bold")).otherwise(F.lit(""))
     box = F.concat(F.lit('<span style="position:absolute;left:'), number(F.col("x")), F.lit("pt;top:"), number(top), F.lit("pt;font-size:"), number(F.col("font_size")), F.lit("pt"), weight, F.lit('">'), T.escape_html("text"), F.lit("</span>"))

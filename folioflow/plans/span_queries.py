@@ -439,6 +439,9 @@ ORACLES = {
     "best_valley": VALLEY_SQL,
     "complexity": COMPLEXITY_SQL,
     "features": FEATURES_SQL,
+    "html_layout": SPANS + r''', h AS (SELECT doc_id, page, sequence, '<span style="position:absolute;left:' || printf('%.1f', x) || 'pt;top:' || printf('%.1f', 792.0 - y - height) || 'pt;font-size:' || printf('%.1f', font_size) || 'pt'
+  || CASE WHEN bold THEN ';font-weight:bold' ELSE '' END || '">' || replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#x27;') || '</span>' AS t FROM spans),
+  j AS (SELECT doc_id, page, string_agg(t, chr(10) ORDER BY sequence) AS html FROM h GROUP BY ALL) SELECT doc_id, page, md5(html) AS digest, length(html) AS length FROM j ''',
     "doc_concat": "SELECT conv_id, string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY turn, text) AS text FROM conversations GROUP BY conv_id",
     "doc_concat_html": "SELECT conv_id, string_agg('<div class=\"page\" data-page=\"' || (turn + 1) || '\">' || chr(10) || text || chr(10) || '</div>', chr(10) ORDER BY turn, text) AS text FROM conversations GROUP BY conv_id",
     "structured_counts": COUNTS_SQL,
