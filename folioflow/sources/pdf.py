@@ -11,7 +11,7 @@ from collections.abc import Callable
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import _parse_datatype_string
+from pyspark.sql.types import BinaryType, IntegerType, StringType, StructType, _parse_datatype_string
 
 from folioflow.pdf.document import Document
 from folioflow.pdf.objects import Ref, Stream, tokens
@@ -210,7 +210,7 @@ def raw_features(files: DataFrame) -> DataFrame:
     return files.select("doc_id", *flags, F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(r"/(\w+Decode)\b")))).alias("filters"))
 
 
-@F.udtf(returnType="position: int, kind: string, text: string")
+@F.udtf(returnType=StructType().add("position", IntegerType()).add("kind", StringType()).add("text", StringType()))
 class PdfTokens:
     """Tokens of a byte string, for SQL: SELECT * FROM pdf_tokens(x'...')."""
 
@@ -219,14 +219,14 @@ class PdfTokens:
             yield i, kind, text
 
 
-@F.udtf(returnType="op_seq: int, op: string, operands: int")
+@F.udtf(returnType=StructType().add("op_seq", IntegerType()).add("op", StringType()).add("operands", IntegerType()))
 class ContentOps:
     def eval(self, data: bytes):
         for i, (op, args) in enumerate(operators(bytes(data or b""))):
             yield i, op, len(args)
 
 
-@F.udtf(returnType="obj_num: int, value: string")
+@F.udtf(returnType=StructType().add("obj_num", IntegerType()).add("value", StringType()))
 class ObjectStream:
     """Members of a decoded object stream: (data, n, first)."""
 
@@ -240,7 +240,7 @@ class ObjectStream:
             yield num, repr(Parser(bytes(data), first + offset).value())
 
 
-@F.arrow_udf("binary")
+@F.arrow_udf(BinaryType())
 def pdf_decode(data: pa.Array, filters: pa.Array) -> pa.Array:
     """Bytes through a list of filters; null where they can't be decoded."""
     from folioflow.pdf.filters import decode
