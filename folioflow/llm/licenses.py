@@ -115,12 +115,13 @@ class Index:
         found = []
         for t, hits in seen.items():
             words = self.words[t]
+            band = min(BAND, max(2, len(words) // 3))  # a short notice may stand twice in a row
             begins = sorted({at - place for at, place in hits})
             while begins:  # one alignment for all hits near one diagonal
                 first = begins[0]
-                group = [b for b in begins if b - first <= BAND]
+                group = [b for b in begins if b - first <= band]
                 begins = begins[len(group) :]
-                matched, a, b = align(words, h, group[len(group) // 2])
+                matched, a, b = align(words, h, group[len(group) // 2], band)
                 if matched >= COVERAGE * len(words):
                     found.append((t, matched, matched / len(words), a, b))
         found.sort(key=lambda f: (-f[1], -f[2], f[0], f[3]))
