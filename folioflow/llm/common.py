@@ -8,6 +8,7 @@ executor costs a re-read and never a recomputation of a half-finished chain.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import shutil
 import tempfile
@@ -85,6 +86,15 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
+def tidy() -> None:
+    """Gives freed memory back to the system: workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def slices(batch: pa.RecordBatch, text: str = "text", most: int = 2 << 20):
     """Row slices of a batch with about `most` bytes of text each; a longer row is a slice of its own."""
     if not batch.num_rows:
@@ -96,6 +106,7 @@ def slices(batch: pa.RecordBatch, text: str = "text", most: int = 2 << 20):
         end = min(max(end, start + 1), batch.num_rows)
         yield batch.slice(start, end - start)
         start = end
+    tidy()
 
 
 def packed(values: np.ndarray, offsets: np.ndarray) -> list[bytes]:

@@ -42,7 +42,7 @@ PERCENT = 90
 FREQUENT = 24  # a token in more documents than this is indexed in pairs
 WIDE = 24  # more frequent tokens than this in a prefix: no pairs
 HOT = 3000  # a longer list of entries is paired in blocks, by more than one task
-BLOCK_TOKENS = 4 << 20
+BLOCK_TOKENS = 2 << 20
 
 _SIGN = np.uint64(1 << 63)
 

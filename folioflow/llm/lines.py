@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -143,29 +144,29 @@ def dedup_lines(docs: DataFrame, every: int = EVERY, long_line: int = LONG_LINE)
 
     def cut(batches):
         for batch in batches:
-            texts, cuts = batch.column("text"), batch.column("__cuts")
-            out, totals, gone = texts.to_pylist(), [], []
-            for k, (text, spans) in enumerate(zip(out, cuts.to_pylist())):
-                if text is None:
-                    totals.append(0)
-                    gone.append([])
-                    continue
-                if not spans:
-                    totals.append(text.count("\n") + 1 - (sum(not x for x in text.split("\n")) if "\n\n" in text or text[:1] in ("", "\n") or text[-1:] == "\n" else 0))
-                    gone.append([])
-                    continue
-                drop = {i for s in spans for i in range(s["line"], s["line"] + s["n"])}
-                at, kept = -1, []
-                for x in text.split("\n"):
-                    at += x != ""
-                    if x == "" or at not in drop:
-                        kept.append(x)
-                out[k] = "\n".join(kept) if at + 1 > len(drop) else ""
-                totals.append(at + 1)
-                gone.append(sorted(drop))
-            columns = [pa.array(out, pa.string()) if c == "text" else batch.column(c) for c in names]
-            kept = [not g or len(g) < n for g, n in zip(gone, totals)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(totals, pa.int32()), pa.array(gone, pa.list_(pa.int32())), pa.array(kept)], names=[*names, "n_lines", "removed_lines", "kept"])
+            for part in slices(batch):
+                totals = np.diff(lines(*text_buffers(part.column("text")))[3])
+                cuts = part.column("__cuts")
+                hit = np.flatnonzero(cuts.is_valid().to_numpy(zero_copy_only=False))
+                texts, changed, gone = part.column("text").take(pa.array(hit)).to_pylist(), [], {}
+                for k, text, spans in zip(hit.tolist(), texts, cuts.take(pa.array(hit)).to_pylist()):
+                    drop = {i for s in spans for i in range(s["line"], s["line"] + s["n"])}
+                    at, kept = -1, []
+                    for x in text.split("\n"):
+                        at += x != ""
+                        if x == "" or at not in drop:
+                            kept.append(x)
+                    changed.append("\n".join(kept) if totals[k] > len(drop) else "")
+                    gone[k] = sorted(drop)
+                mask = np.zeros(part.num_rows, dtype=bool)
+                mask[hit] = True
+                text = pc.replace_with_mask(part.column("text"), pa.array(mask), pa.array(changed, part.column("text").type))
+                columns = [text if c == "text" else part.column(c) for c in names]
+                size = np.array([len(gone.get(k, ())) for k in range(part.num_rows)])
+                yield pa.RecordBatch.from_arrays(
+                    [*columns, pa.array(totals.astype(np.int32)), pa.array([gone.get(k, []) for k in range(part.num_rows)], pa.list_(pa.int32())), pa.array((size == 0) | (size < totals))],
+                    names=[*names, "n_lines", "removed_lines", "kept"],
+                )
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
     return joined.mapInArrow(cut, schema + ", n_lines int, removed_lines array<int>, kept boolean")

@@ -112,7 +112,7 @@ def _pre_tokens(raw: np.ndarray, offsets: np.ndarray, lower: bool):
 class Encoder:
     """Ids of many texts at a time; one for each worker process and tokenizer file."""
 
-    def __init__(self, path: str, most_words: int = 1_500_000):
+    def __init__(self, path: str, most_words: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -158,12 +158,12 @@ class Encoder:
     def _add(self, *columns):
         n = len(columns[0])
         if self.known + n > len(self.rows[0]):
-            self.rows = tuple(np.concatenate([r[: self.known], np.zeros(self.known + 2 * n, r.dtype)]) for r in self.rows)
+            self.rows = tuple(np.concatenate([r[: self.known], np.zeros(self.known // 2 + n, r.dtype)]) for r in self.rows)
         for r, c in zip(self.rows, columns):
             r[self.known : self.known + n] = c
         new, self.known = np.arange(self.known, self.known + n, dtype=np.int32), self.known + n
-        if 2 * self.known > len(self.table):
-            self.table = np.full(1 << (4 * self.known).bit_length(), -1, dtype=np.int32)
+        if 3 * self.known > 2 * len(self.table):
+            self.table = np.full(1 << (2 * self.known).bit_length(), -1, dtype=np.int32)
             new = np.arange(self.known, dtype=np.int32)
         mask = len(self.table) - 1
         slot = (self.rows[0][new] & np.uint64(mask)).astype(np.int64)
@@ -242,7 +242,7 @@ class Encoder:
             new = rest[first]
             flat, n = (self._encode_words if self.pattern is None else self._encode_pieces)([raw[a:b].tobytes() for a, b in zip(s[new].tolist(), e[new].tolist())])
             if self.used + len(flat) > len(self.ids):
-                self.ids = np.concatenate([self.ids[: self.used], np.zeros(self.used + 2 * len(flat), np.uint32)])
+                self.ids = np.concatenate([self.ids[: self.used], np.zeros(self.used // 2 + len(flat), np.uint32)])
             self.ids[self.used : self.used + len(flat)] = flat
             row[rest] = self.known + inverse
             self._add(h[new], head[new], tail[new], size[new], self.used + np.concatenate([[0], np.cumsum(n)])[:-1].astype(np.int64), n)
