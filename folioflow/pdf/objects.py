@@ -234,7 +234,7 @@ def tokens(data: bytes) -> list[tuple[str, str]]:
             p.pos += n
             continue
         if one == b"/":
-            out.append(("name", p.name()))
+            out.append(("name", str(p.name())))
         elif one == b"(":
             out.append(("string", p.literal().decode("latin-1")))
         elif one == b"<":
