@@ -198,8 +198,8 @@ fs AS (SELECT doc_id, page, font_size AS v, sum(n) AS w FROM t GROUP BY ALL),
 fr AS (SELECT *, sum(w) OVER (PARTITION BY doc_id, page ORDER BY v) AS upto, sum(w) OVER (PARTITION BY doc_id, page) AS total FROM fs),
 fm AS (SELECT doc_id, page, min(v) AS median_font_size FROM fr WHERE upto > total // 2 GROUP BY ALL),
 lb AS (SELECT doc_id, page, CAST(round(y / 5) AS BIGINT) AS yb, sum(n) AS c FROM t GROUP BY ALL),
-sp AS (SELECT *, (lag(yb) OVER (PARTITION BY doc_id, page ORDER BY yb DESC) - yb) * 5.0 AS s FROM lb),
-lp AS (SELECT doc_id, page, coalesce(list_sort(list(s) FILTER (s IS NOT NULL))[CAST(count(s) // 2 + 1 AS BIGINT)], 12.0) AS median_line_spacing, sum(c) / count(*) AS avg_chars_per_line, var_pop(yb * 5.0) AS line_y_variance FROM sp GROUP BY doc_id, page),
+sp AS (SELECT *, (lag(yb) OVER (PARTITION BY doc_id, page ORDER BY yb DESC) - yb) * CAST(5 AS DOUBLE) AS s FROM lb),
+lp AS (SELECT doc_id, page, coalesce(list_sort(list(s) FILTER (s IS NOT NULL))[CAST(count(s) // 2 + 1 AS BIGINT)], CAST(12 AS DOUBLE)) AS median_line_spacing, sum(c) / count(*) AS avg_chars_per_line, var_pop(yb * 5.0) AS line_y_variance FROM sp GROUP BY doc_id, page),
 xb AS (SELECT doc_id, page, CAST(floor(x / 10) AS BIGINT) AS bin, sum(n) AS c FROM t GROUP BY ALL),
 xl AS (SELECT *, floor(max(c) OVER (PARTITION BY doc_id, page) * 0.1) AS lim FROM xb WHERE bin BETWEEN 0 AND 61),
 xg AS (SELECT doc_id, page, bin - lag(bin) OVER (PARTITION BY doc_id, page ORDER BY bin) - 1 AS gap FROM xl WHERE c > lim),

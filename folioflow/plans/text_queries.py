@@ -99,7 +99,7 @@ FROM (SELECT page_id AS id, html AS t FROM pages UNION ALL SELECT doc_id + 10000
 
 def ligature_patterns(spark, sf_dir):
     text = F.expr("concat(text, ' financial fnancial offcial difcult α π', 'ﬁ')")
-    return _docs(spark, sf_dir).select("doc_id", *[c.cast("long").alias(n) for n, c in T.ligature_report(text).items()], F.length(T.expand_ligatures(text)).alias("expanded"))
+    return _docs(spark, sf_dir).select("doc_id", *[c.cast("long").alias(n) for n, c in T.ligature_report(text).items()], F.length(T.expand_ligatures(text)).cast("long").alias("expanded"))
 
 
 _sum = lambda ps: " + ".join(f"len(regexp_extract_all(lower(t), '{p}'))" for p in ps)
