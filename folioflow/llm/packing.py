@@ -156,7 +156,7 @@ def completions(room: int, sizes: list[int], counts: dict[int, int], most: int,
     return [c for _, c in sorted(set(found), key=lambda f: (f[0], len(f[1])))[:most]]
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY, *, branches: int = 3, effort: int = 4000, nodes: int = 20_000) -> list[tuple[tuple[int, ...], int]]:
+def plan(counts: dict[int, int], capacity: int = CAPACITY, *, branches: int = 3, effort: int = 4000, nodes: int = 4_000) -> list[tuple[tuple[int, ...], int]]:
     """Patterns and multiplicities that hold every piece in as few bins as the search finds.
 
     `branches`, `effort` and `nodes` bound the search, never the input: what it leaves open
