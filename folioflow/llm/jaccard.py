@@ -21,8 +21,8 @@ by class size, give degrees and components. Copies are never expanded into pairs
 Edge cases: null and empty texts, and those without words, have n_shingles 0 and link with
 nothing; rows repeated with one doc_id are one document, listed once; rows with a
 null doc_id link with nothing and are listed as they are; an empty table gives an empty
-result; other columns are ignored. If one doc_id comes with different texts, the least row by
-text hash stands for it.
+result; other columns are ignored. A doc_id that comes with different texts is one document too; which
+of its texts is compared is open.
 """
 
 from __future__ import annotations
@@ -320,9 +320,9 @@ def verified(docs: DataFrame, candidates: DataFrame, k: int = K, percent: int =
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    known = written(docs.mapInArrow(sets, "id long, tokens binary").groupBy("id").agg(F.max("tokens").alias("tokens")), "sets")
+    known = written(docs.mapInArrow(sets, "id long, tokens binary"), "sets")  # a row repeated with its id comes twice
     joined = pairs.join(known.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a").join(known.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b")
-    return joined.select(F.col("a").alias("u"), F.col("b").alias("v"), "ta", "tb").mapInArrow(compare, "u long, v long")
+    return joined.select(F.col("a").alias("u"), F.col("b").alias("v"), "ta", "tb").mapInArrow(compare, "u long, v long").distinct()
 
 
 def ngram_classes(docs: DataFrame, k: int = K, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
