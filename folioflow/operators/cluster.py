@@ -42,6 +42,19 @@ def words(chars: DataFrame, keys=KEYS, eps: float = 8.0, line_share: float = 0.5
     return aggregate_blocks(placed.withColumnRenamed("char", "text"), [*keys, "line", "word"], "")
 
 
+def adaptive_words(chars: DataFrame, keys=KEYS, share: float = 0.8) -> DataFrame:
+    """As words, with `share` of the page's median character width between the edges of neighbours as the limit."""
+    from folioflow.operators.layout import weighted_upper_median
+
+    keys = list(keys)
+    medians = weighted_upper_median(chars.withColumn("__n", F.lit(1)), keys, "width", "__n", "__median")
+    lined = lines_of(chars.join(medians, keys), keys, tolerance=0.0)
+    w = Window.partitionBy(*keys, "line").orderBy("x", "sequence")
+    gap = (F.col("x") - F.lag(F.col("x") + F.col("width")).over(w)) / F.col("__median")
+    placed = islands(lined, [*keys, "line"], gap, share, "word").drop("__median")
+    return aggregate_blocks(placed.withColumnRenamed("char", "text"), [*keys, "line", "word"], "")
+
+
 def text_lines(words_: DataFrame, keys=KEYS, tolerance: float = 5.0, most: float = 50.0) -> DataFrame:
     """Words to lines: islands of y, then of x where edges are less than `most` apart. One row a line."""
     lined = lines_of(words_, keys, tolerance)

@@ -89,6 +89,16 @@ def two_columns(df: DataFrame, keys=KEYS, page_width: float = 612.0) -> DataFram
     return _ranked(placed, keys, F.when(F.col("two_columns"), right.cast("int")).otherwise(0), F.desc("y"), "x")
 
 
+def adaptive(blocks: DataFrame, keys=KEYS, page_width: float = 612.0, page_height: float = 792.0) -> DataFrame:
+    """The cheap order for simple pages, column by column for the others; adds `class` by layout complexity."""
+    from folioflow.operators.layout import complexity
+
+    kinds = complexity(blocks, keys, page_width, page_height).select(*keys, "class")
+    rows = blocks.join(kinds, list(keys))
+    hard = by_columns(rows.where("class <> 'Simple'"), keys).drop("col")
+    return simple(rows.where("class = 'Simple'"), keys).unionByName(hard)
+
+
 def by_structure(df: DataFrame, structure: DataFrame, keys=KEYS) -> DataFrame:
     """Spans in the order of the structure tree (keys, mcid, ord); those without a listed mcid follow."""
     joined = df.join(structure, [*keys, "mcid"], "left")

@@ -36,6 +36,13 @@ def markdown_pages(spans: DataFrame, keys=KEYS, *, links: bool = True, tolerance
     return page.withColumn("markdown", T.cleanup_markdown(T.markdown_links(shown) if links else shown))
 
 
+def markdown_from_chars(chars: DataFrame, keys=KEYS, **options) -> DataFrame:
+    """(keys, markdown) of a table of characters: words by the page's own spacing, then as for spans."""
+    from folioflow.operators.cluster import adaptive_words
+
+    return markdown_pages(adaptive_words(chars, keys).drop("line", "word", "n"), keys, **options)
+
+
 def html_pages(spans: DataFrame, keys=KEYS, *, preserve_layout: bool = False, page_height: float = 792.0) -> DataFrame:
     """(keys, html): headings and paragraphs in reading order, or every span at its place."""
     return layout_html(spans, keys, page_height) if preserve_layout else semantic_html(spans, keys)

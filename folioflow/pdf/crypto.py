@@ -1,4 +1,4 @@
-"""Standard security handler: RC4 of 40 to 128 bits and AES-128; passwords of user and owner."""
+"""Standard security handler: RC4 of 40 to 128 bits, AES-128 and AES-256; passwords of user and owner."""
 
 from __future__ import annotations
 
@@ -119,21 +119,36 @@ def aes_decrypt(key: bytes, data: bytes) -> bytes:
     return bytes(out[:-n]) if 1 <= n <= 16 and out[-n:] == bytes((n,)) * n else bytes(out)
 
 
-def aes_encrypt(key: bytes, data: bytes, iv: bytes) -> bytes:
+def aes_encrypt(key: bytes, data: bytes, iv: bytes, pad: bool = True) -> bytes:
+    """The initial vector, then the blocks."""
     n = 16 - len(data) % 16
-    data, keys, out = data + bytes((n,)) * n, _round_keys(key), bytearray(iv)
+    data, keys, out = data + bytes((n,)) * n if pad else data, _round_keys(key), bytearray(iv)
     for i in range(0, len(data), 16):
         out += bytes(_encrypt_block([a ^ b for a, b in zip(data[i : i + 16], out[-16:])], keys))
     return bytes(out)
 
 
+def strong_hash(password: bytes, salt: bytes, user: bytes, revision: int) -> bytes:
+    """The 256-bit hash of revisions 5 (one SHA-256) and 6 (rounds of AES and SHA-2 chosen by the data)."""
+    k = hashlib.sha256(password + salt + user).digest()
+    if revision < 6:
+        return k
+    i = 0
+    while True:
+        e = aes_encrypt(k[:16], (password + k + user) * 64, k[16:32], pad=False)[16:]
+        k = (hashlib.sha256, hashlib.sha384, hashlib.sha512)[sum(e[:16]) % 3](e).digest()
+        i += 1
+        if i >= 64 and e[-1] <= i - 32:
+            return k[:32]
+
+
 class Security:
     """Decrypts strings and streams after a password has been accepted."""
 
     def __init__(self, encrypt: dict, file_id: bytes, password: bytes = b""):
         self.v, self.r = encrypt.get("V", 0), encrypt.get("R", 2)
         self.permissions = encrypt.get("P", 0)
-        if self.v not in (1, 2, 4):
+        if self.v not in (1, 2, 4, 5) or (self.v == 5 and self.r not in (5, 6)):
             raise PdfError("UnsupportedEncryption", f"V{self.v} R{self.r}")
         self.o, self.u = encrypt.get("O", b"")[:32], encrypt.get("U", b"")
         self.n = 5 if self.r == 2 else int(encrypt.get("Length", 128 if self.v == 4 else 40)) // 8
@@ -141,15 +156,31 @@ class Security:
         self.id = file_id
         self.aes = False
         self.identity = False
-        if self.v == 4:
+        if self.v in (4, 5):
             name = encrypt.get("StmF", "Identity")
             method = (encrypt.get("CF") or {}).get(name, {}).get("CFM", "None") if name != "Identity" else "None"
-            self.aes, self.identity, self.n = method == "AESV2", method == "None", 16
-        self.key = self._accept(password)
+            self.aes, self.identity, self.n = method in ("AESV2", "AESV3"), method == "None", 32 if self.v == 5 else 16
+        if self.v == 5:
+            self.o = encrypt.get("O", b"")[:48]
+            self.key = self._accept_strong(password[:127], encrypt.get("UE", b""), encrypt.get("OE", b""))
+        else:
+            self.key = self._accept(password)
+
+    def _accept_strong(self, password: bytes, ue: bytes, oe: bytes) -> bytes:
+        u = self.u[:48]
+        for entry, extra, sealed in ((u, b"", ue), (self.o, u, oe)):
+            if hmac.compare_digest(strong_hash(password, entry[32:40], extra, self.r), entry[:32]):
+                key, out = _round_keys(strong_hash(password, entry[40:48], extra, self.r)), b""
+                last = bytes(16)
+                for i in range(0, 32, 16):
+                    out += bytes(a ^ b for a, b in zip(_decrypt_block(sealed[i : i + 16], key), last))
+                    last = sealed[i : i + 16]
+                return out
+        raise PdfError("WrongPassword")
 
     @property
     def algorithm(self) -> str:
-        return "AES-128" if self.aes else f"RC4-{self.n * 8}"
+        return "AES-256" if self.v == 5 else "AES-128" if self.aes else f"RC4-{self.n * 8}"
 
     def _derive(self, password: bytes) -> bytes:
         data = (password + PAD)[:32] + self.o + (self.permissions & 0xFFFFFFFF).to_bytes(4, "little") + self.id
@@ -188,5 +219,7 @@ class Security:
     def decrypt(self, data: bytes, num: int, gen: int) -> bytes:
         if self.identity:
             return data
+        if self.v == 5:
+            return aes_decrypt(self.key, data)
         key = hashlib.md5(self.key + num.to_bytes(3, "little") + gen.to_bytes(2, "little") + (b"sAlT" if self.aes else b"")).digest()[: min(self.n + 5, 16)]
         return aes_decrypt(key, data) if self.aes else rc4(key, data)

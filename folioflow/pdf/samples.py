@@ -6,7 +6,7 @@ import hashlib
 import os
 import zlib
 
-from folioflow.pdf.crypto import PAD, Security, aes_encrypt, rc4
+from folioflow.pdf.crypto import PAD, Security, aes_encrypt, rc4, strong_hash
 
 
 class Writer:
@@ -204,6 +204,21 @@ def encrypted(aes: bool, password: bytes = b"", owner: bytes = b"owner") -> byte
     return w.save(root, f"/Encrypt 100 0 R /ID [<{file_id.hex()}> <{file_id.hex()}>]")
 
 
+def encrypted_256(revision: int = 6, password: bytes = b"", owner: bytes = b"owner") -> bytes:
+    """AES-256, revision 5 or 6."""
+    key = hashlib.sha256(b"file key").digest()
+    wrap = lambda k: aes_encrypt(k, key, bytes(16), pad=False)[16:]
+    u = strong_hash(password, b"validate", b"", revision) + b"validate" + b"key salt"
+    ue = wrap(strong_hash(password, b"key salt", b"", revision))
+    o = strong_hash(owner, b"VALIDATE", u, revision) + b"VALIDATE" + b"KEY SALT"
+    oe = wrap(strong_hash(owner, b"KEY SALT", u, revision))
+    w, root = document([b""])
+    w.stream(aes_encrypt(key, text_page(["Strong secret"]), bytes(range(16))), num=11, flate=False)
+    cf = "/StmF /StdCF /StrF /StdCF /CF << /StdCF << /CFM /AESV3 /Length 32 >> >>"
+    w.add(f"<< /Filter /Standard /V 5 /R {revision} /Length 256 /P -44 /O <{o.hex()}> /U <{u.hex()}> /OE <{oe.hex()}> /UE <{ue.hex()}> {cf} >>", 100)
+    return w.save(root, "/Encrypt 100 0 R")
+
+
 def empty() -> bytes:
     w = Writer()
     w.add("<< /Type /Catalog /Pages 2 0 R >>", 1)
@@ -215,7 +230,7 @@ def empty() -> bytes:
 ALL = {
     "plain/simple.pdf": lambda: simple(), "plain/three_pages.pdf": lambda: simple(3), "plain/empty.pdf": empty, "text/kerned.pdf": kerned, "text/mapped.pdf": mapped, "text/tagged.pdf": tagged,
     "structure/xref_stream.pdf": xref_stream, "structure/damaged.pdf": damaged, "features/form.pdf": form, "features/linked.pdf": linked, "features/pictures.pdf": pictures, "features/ruled.pdf": ruled,
-    "secured/rc4.pdf": lambda: encrypted(False), "secured/aes.pdf": lambda: encrypted(True), "secured/locked.pdf": lambda: encrypted(False, b"user"), "broken/not_a_pdf.pdf": lambda: b"no header here",
+    "secured/rc4.pdf": lambda: encrypted(False), "secured/aes.pdf": lambda: encrypted(True), "secured/strong.pdf": lambda: encrypted_256(), "secured/locked.pdf": lambda: encrypted(False, b"user"), "broken/not_a_pdf.pdf": lambda: b"no header here",
 }
 
 

@@ -96,11 +96,11 @@ ORACLES = {
       ('kerned.pdf', true, '1.7', 1, false, false, NULL, NULL, false, NULL), ('mapped.pdf', true, '1.7', 1, false, false, NULL, NULL, false, NULL), ('tagged.pdf', true, '1.7', 1, false, false, NULL, NULL, true, NULL),
       ('xref_stream.pdf', true, '1.5', 1, false, false, NULL, NULL, false, NULL), ('damaged.pdf', true, '1.7', 2, true, false, NULL, NULL, false, NULL), ('form.pdf', true, '1.7', 1, false, false, NULL, NULL, false, NULL),
       ('linked.pdf', true, '1.7', 2, false, false, NULL, NULL, false, NULL), ('pictures.pdf', true, '1.7', 1, false, false, NULL, NULL, false, NULL), ('ruled.pdf', true, '1.7', 1, false, false, NULL, NULL, false, NULL),
-      ('rc4.pdf', true, '1.7', 1, false, true, 'RC4-128', -44, false, NULL), ('aes.pdf', true, '1.7', 1, false, true, 'AES-128', -44, false, NULL), ('locked.pdf', false, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'WrongPassword'),
+      ('rc4.pdf', true, '1.7', 1, false, true, 'RC4-128', -44, false, NULL), ('aes.pdf', true, '1.7', 1, false, true, 'AES-128', -44, false, NULL), ('strong.pdf', true, '1.7', 1, false, true, 'AES-256', -44, false, NULL), ('locked.pdf', false, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'WrongPassword'),
       ('not_a_pdf.pdf', false, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'InvalidHeader')) t(file, success, version, page_count, rebuilt, encrypted, algorithm, permissions, tagged, error_kind)""",
     "pdf_text": f"""SELECT * FROM (VALUES ('simple.pdf', 0, {_TITLE(1)}), ('three_pages.pdf', 0, {_TITLE(1)}), ('three_pages.pdf', 1, {_TITLE(2)}), ('three_pages.pdf', 2, {_TITLE(3)}), ('damaged.pdf', 0, {_TITLE(1)}), ('damaged.pdf', 1, {_TITLE(2)}),
       ('kerned.pdf', 0, 'Hello World' || chr(10) || 'next'), ('mapped.pdf', 0, 'Hfiabc' || chr(10) || chr(10) || 'é€ﬁ'), ('tagged.pdf', 0, 'first' || chr(10) || chr(10) || 'second' || chr(10) || chr(10) || chr(10) || 'loose'),
-      ('xref_stream.pdf', 0, 'Compressed objects'), ('form.pdf', 0, 'Form'), ('linked.pdf', 0, 'A'), ('linked.pdf', 1, 'B'), ('pictures.pdf', 0, 'inside a form'), ('ruled.pdf', 0, 'Ruled'), ('rc4.pdf', 0, 'Secret text'), ('aes.pdf', 0, 'Secret text')) t(file, page, text)""",
+      ('xref_stream.pdf', 0, 'Compressed objects'), ('form.pdf', 0, 'Form'), ('linked.pdf', 0, 'A'), ('linked.pdf', 1, 'B'), ('pictures.pdf', 0, 'inside a form'), ('ruled.pdf', 0, 'Ruled'), ('rc4.pdf', 0, 'Secret text'), ('aes.pdf', 0, 'Secret text'), ('strong.pdf', 0, 'Strong secret')) t(file, page, text)""",
     "pdf_forms": "SELECT * FROM (VALUES ('form.pdf', 'person.name', 'Text', 'Ada | L', 'full name'), ('form.pdf', 'person.agree', 'Button', 'Yes', NULL), ('form.pdf', 'colours', 'Choice', 'red, blue', NULL)) t(file, full_name, field_type, value_text, tooltip)",
     "pdf_outline": "SELECT * FROM (VALUES ('linked.pdf', 0, 'One', 'page', 0), ('linked.pdf', 1, 'Ü', 'page', 1), ('linked.pdf', 0, 'Two', 'named', 1)) t(file, depth, title, dest_kind, dest_page)",
     "pdf_annotations": "SELECT * FROM (VALUES ('linked.pdf', 0, 'Link', NULL, 'https://example.org'), ('linked.pdf', 0, 'Text', 'note', NULL), ('linked.pdf', 1, 'Link', NULL, 'https://example.org'), ('linked.pdf', 1, 'Text', 'note', NULL)) t(file, page, subtype, contents, uri)",

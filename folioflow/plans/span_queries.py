@@ -279,6 +279,11 @@ def md_page(spark, sf_dir):
 MD_LINES = """, li AS (SELECT doc_id, page, y, bool_or(bold) AS bold, string_agg(text, ' ' ORDER BY x, sequence) AS t FROM spans GROUP BY ALL)"""
 
 
+def md_chars(spark, sf_dir):
+    """Markdown from characters: the same words, so the same pages as from spans without empty words."""
+    return render.markdown_from_chars(cluster.explode_chars(spans(spark, sf_dir)))
+
+
 def html_page(spark, sf_dir):
     return render.html_pages(spans(spark, sf_dir))
 
@@ -381,6 +386,7 @@ QUERIES = {
     "order_html": _ranks(order.html),
     "order_columns": _ranks(order.by_columns),
     "order_graph": _ranks(order.precedence),
+    "order_adaptive": _ranks(order.adaptive),
     "order_two_columns": _ranks(order.two_columns),
     "span_columns": span_columns,
     "dedup_spans": dedup_spans,
@@ -401,6 +407,7 @@ QUERIES = {
     "complexity": complexity,
     "features": features,
     "md_page": md_page,
+    "md_chars": md_chars,
     "html_page": html_page,
     "html_layout": html_layout,
     "doc_concat": doc_concat,

@@ -139,6 +139,17 @@ def test_encryption(aes):
     assert e.value.kind == "WrongPassword"
 
 
+@pytest.mark.parametrize("revision", [5, 6])
+def test_encryption_256(revision):
+    assert text(samples.encrypted_256(revision)) == ["Strong secret"]
+    locked = samples.encrypted_256(revision, b"user")
+    for password in ("user", "owner"):
+        d = Document(locked, password)
+        assert d.security.algorithm == "AES-256" and [s["text"] for s in Replay(d, d.pages()[0][1]).run().spans] == ["Strong secret"]
+    with pytest.raises(PdfError):
+        Document(locked)
+
+
 def test_texts():
     assert text(samples.simple()) == ["Title 1", "Hello World", "See https://example.org/x."]
     assert text(samples.kerned()) == ["Hello", " ", "World", "next", "(x)"]
