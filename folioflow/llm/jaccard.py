@@ -248,8 +248,8 @@ def pair_index(blocks: DataFrame, percent: int = PERCENT, hot: int = HOT) -> Dat
             one, size = ids[at : at + length], ns[at : at + length]
             if length > hot:
                 n = (size & _N).astype(np.int64)
-                for first in range(0, length, hot // 4):
-                    last = min(first + hot // 4, length)
+                for first in range(0, length, max(1, hot // 4)):
+                    last = min(first + max(1, hot // 4), length)
                     end = int(np.searchsorted(n, n[last - 1] * 100 // percent, side="right"))
                     for other in range(first, end, hot):  # every block of the list against what follows it
                         some = np.arange(max(other, last), min(other + hot, end)) if other + hot > last else np.arange(0)
