@@ -117,7 +117,7 @@ class Model:
 def train(docs: DataFrame, most: int = MOST, smooth: float = SMOOTH, bits: int = BITS) -> Model:
     """A model from about `most` rows (text, lang) of `docs`; the sample is taken by hash of doc_id."""
     labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL")
-    rows = labelled.select("lang").count()
+    rows = docs.where("lang IS NOT NULL").select("lang").count()  # reads one column
     share = min(1.0, most / max(rows, 1))
     sample = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
 
