@@ -7,15 +7,27 @@ n-gram of up to four of them, its order and the language's number pack into one
 Spark counts the n-grams (each task sends a sorted, already summed table), derives
 continuation counts, discounts and interpolated probabilities by joins on those keys, and
 writes keys, log probabilities and back-off weights as sorted arrays in the shared folder,
-which scoring tasks map into memory. A text's perplexity is compared with its language's band: the
+which scoring tasks map into memory.
+
+A second model counts words, order three, without any bound: `word_tables` counts every trigram
+of folded words under a 64-bit hash, and each text is scored by the counts of all *other* texts
+(its own are taken off at every order), for otherwise any rare word sequence would be
+explained by itself. So a trigram or bigram that stands once in all texts needs no entry: it is
+counted in its contexts and in the discounts, and a text that meets no entry is the one that
+holds it. Entries grow with the input.
+
+A text's perplexity under either model is compared with its language's band: the
 median of log perplexity, less `LOWER` and plus `UPPER` times a standard deviation that falls with
 the root of the text's length (its scale is the language's median absolute deviation times that
-root); a text below (made of what repeats) or above (made of what is rare) is rejected.
+root); a text below (made of what repeats) or above (made of what is rare) is rejected. Words
+reject above only: any copy of a text elsewhere makes its words predictable, and copies are not this
+operator's matter.
 
 Edge cases: null and empty texts have zero counts and fail the base rules (fewer than ten words);
 perplexity is null for a text without characters; a language whose texts all score alike
 has a band of `LEAST` below and ten times that above; repeated rows count twice in the model; an empty table gives an empty
-result; other columns are ignored. Languages beyond 4,096 share numbers by remainder.
+result; other columns are ignored. Languages beyond 4,096 share numbers by remainder. A language
+of one text has no other texts: its words are all equally likely.
 """
 
 from __future__ import annotations
@@ -26,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.llm.common import Sorted, read_table, slices, text_buffers, write_sorted, written
-from folioflow.llm.words import lines, shingles, spans, take_ranges
+from folioflow.llm.words import lines, mix, shingles, spans, take_ranges
 
 ORDER = 4
 LOWER, UPPER = 4.5, 9.0  # reach below and above the median, in standard deviations
@@ -194,6 +206,230 @@ def log_probabilities(model: Sorted, unseen: dict[int, float], lang: np.ndarray,
     return out[inverse]
 
 
+# --- words ------------------------------------------------------------------------------------
+
+_STEP = np.uint64(0x9FB21C651E98DF25)
+_EDGE = mix(np.array([START, END], dtype=np.uint64), 7)
+
+
+def word_grams(column: pa.Array, lang: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Keys of the trigram that ends at every word and at the end mark of each row; the rows' offsets.
+
+    tri; its first two words (head), its last two (tail), its middle and its last word. A row
+    begins with two start marks; a row without words has no trigram.
+    """
+    _, _, h, off = spans(*text_buffers(column), lower=True)
+    n = np.diff(off)
+    rows = np.flatnonzero(n)
+    line_off = np.concatenate([[0], np.cumsum(np.where(n > 0, n + 3, 0))])
+    line = np.full(line_off[-1], _EDGE[0])
+    line[take_ranges(line_off[rows] + 2, n[rows])] = h
+    line[line_off[rows + 1] - 1] = _EDGE[1]
+    tongue = np.repeat(mix(lang.astype(np.uint64), 8), np.where(n > 0, n + 3, 0))
+    use = take_ranges(line_off[rows] + 2, n[rows] + 1)
+    pair = line.copy()
+    pair[1:] += line[:-1] * _STEP
+    triple = line.copy()
+    triple[1:] += pair[:-1] * _STEP
+    word, pair, triple = (mix(x + tongue, 50 + k).view(np.int64) for k, x in enumerate((line, pair, triple)))
+    return {"tri": triple[use], "head": pair[use - 1], "tail": pair[use], "mid": word[use - 1], "last": word[use]}, np.concatenate([[0], np.cumsum(np.where(n > 0, n + 1, 0))])
+
+
+def _summed(lang: np.ndarray, keys: np.ndarray, values: list[np.ndarray]):
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return lang[order][first].astype(np.int32), keys[first], [np.add.reduceat(v[order], first) if len(first) else v for v in values]
+
+
+def _sums(docs: DataFrame, rows_of, names: list[str]) -> DataFrame:
+    """(lang_id, k, *names): sums by key of what `rows_of` gives for a slice (lang, keys, values); each task sums its own before the shuffle."""
+
+    def run(batches):
+        held: list = []
+        size = 0
+
+        def merged():
+            return _summed(np.concatenate([p[0] for p in held]), np.concatenate([p[1] for p in held]), [np.concatenate(v) for v in zip(*(p[2] for p in held))])
+
+        def sent(part):
+            for a in range(0, len(part[1]), 1 << 18):
+                b = slice(a, a + (1 << 18))
+                yield pa.RecordBatch.from_arrays([pa.array(part[0][b].astype(np.int32)), pa.array(part[1][b]), *[pa.array(v[b]) for v in part[2]]], names=["lang_id", "k", *names])
+
+        for batch in batches:
+            for part in slices(batch, most=1 << 20):
+                held.append(_summed(*rows_of(part)))
+                size += len(held[-1][1])
+                if size > 800_000:
+                    held = [merged()]
+                    size = len(held[0][1])
+                    if size > 400_000:  # bounds the worker's memory; Spark sums what is sent twice
+                        yield from sent(held[0])
+                        held, size = [], 0
+        if held:
+            yield from sent(merged())
+
+    rows = docs.select("text", "lang_id").mapInArrow(run, "lang_id int, k long, " + ", ".join(f"{c} double" for c in names))
+    return rows.groupBy("lang_id", "k").agg(*[F.sum(c).alias(c) for c in names])
+
+
+def _without_single(df: DataFrame, once: str) -> DataFrame:
+    """`df` without the rows where all of `once` are 1; in their place a row for each language and task, k null and c their number."""
+    names = df.columns
+
+    def run(batches):
+        singles: dict[int, int] = {}
+        for batch in batches:
+            own = np.ones(batch.num_rows, bool)
+            for c in once.split():
+                own &= batch.column(c).to_numpy() == 1
+            for lang, n in zip(*np.unique(batch.column("lang_id").to_numpy()[own], return_counts=True)):
+                singles[int(lang)] = singles.get(int(lang), 0) + int(n)
+            yield batch.filter(pa.array(~own))
+        for lang, n in singles.items():
+            yield pa.RecordBatch.from_pylist([{"lang_id": lang, "c": float(n)}], schema=pa.schema([(c, pa.int32() if c == "lang_id" else pa.int64() if c == "k" else pa.float64()) for c in names]))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def _discounts(table: DataFrame) -> dict[int, np.ndarray]:
+    """Language to its discounts of counts 0, 1, 2 and from 3 on; a row for each language comes to the driver."""
+    kinds = [F.sum(F.when(F.col("k").isNull(), F.col("c") if i == 1 else F.lit(0)).otherwise((F.col("c") == i).cast("int"))).alias(f"n{i}") for i in (1, 2, 3, 4)]
+    out = {}
+    for r in table.groupBy("lang_id").agg(*kinds).collect():
+        n = [float(r[f"n{i}"]) for i in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.5
+        out[r["lang_id"]] = np.array([0.0, *[min(max(i - (i + 1) * y * (n[i] / n[i - 1] if n[i - 1] else 0.5), 0.1), i - 0.1) for i in (1, 2, 3)]])
+    return out
+
+
+def _discount(of: dict[int, np.ndarray], lang: np.ndarray, c: np.ndarray) -> np.ndarray:
+    table = np.zeros((int(lang.max(initial=0)) + 1, 4))
+    for tongue, d in of.items():
+        if tongue < len(table):
+            table[tongue] = d
+    return table[lang, np.minimum(c, 3).astype(np.int64)]
+
+
+class WordModel:
+    """Files and numbers of the word model: see `word_tables`."""
+
+    def __init__(self, tri, pairs, words, d3, d2, d1, total, mass, size):
+        self.files, self.d3, self.d2, self.d1 = (tri, pairs, words), d3, d2, d1
+        self.total, self.mass, self.size = total, mass, size
+
+    def tables(self):
+        return tuple(Sorted(f) for f in self.files)
+
+
+def _counts(table: Sorted, keys: np.ndarray, names: tuple[str, ...], absent: float = 1.0):
+    """Values of every key; of those not in the table, `absent`."""
+    distinct, inverse = np.unique(keys, return_inverse=True)
+    return [v[inverse] for v in table.values(distinct, *names, absent=absent, kind=np.float64)]
+
+
+def word_tables(docs: DataFrame) -> WordModel:
+    """Modified Kneser-Ney counts of words, order three, from (text, lang_id).
+
+    tri: c of trigrams. pairs: c (distinct words before), t (occurrences), m (sum of the discounts of
+    the trigrams that begin with it). words: c, t, m likewise over distinct pairs. What a pair or a word
+    sums over distinct n-grams comes from a pass over the texts in which each of the n-gram's t
+    occurrences gives its t-th part. Trigrams and pairs of one occurrence have no entry.
+    """
+
+    def grams(part):
+        lang = part.column("lang_id").to_numpy()
+        g, off = word_grams(part.column("text"), lang)
+        return g, np.repeat(lang, np.diff(off))
+
+    def tri(part):
+        g, lang = grams(part)
+        return lang, g["tri"], [np.ones(len(lang))]
+
+    threes = written(_without_single(_sums(docs, tri, ["c"]), "c"), "trigrams")
+    d3 = _discounts(threes)
+    tri_files = write_sorted(threes.where("k is not null").select("k", F.col("c").cast("long")), "trigrams", ("c",))
+    end = _EDGE[1]
+
+    def pair(part):
+        g, lang = grams(part)
+        c = _counts(Sorted(tri_files), g["tri"], ("c",))[0]
+        zero, one = np.zeros(len(lang)), np.ones(len(lang))
+        last = g["last"] == mix(end + mix(lang.astype(np.uint64), 8), 50).view(np.int64)  # never the head of a trigram: counted as a tail
+        return np.concatenate([lang, lang]), np.concatenate([g["head"], g["tail"]]), [np.concatenate(v) for v in ((zero, 1 / c), (one, last.astype(float)), (_discount(d3, lang, c) / c, zero))]
+
+    twos = written(_without_single(_sums(docs, pair, ["c", "t", "m"]).withColumn("c", F.round("c")), "c t"), "pairs")
+    d2 = _discounts(twos.where("k is null or c > 0"))
+    pair_files = write_sorted(twos.where("k is not null").select("k", F.col("c").cast("long"), F.col("t").cast("long"), F.col("m").cast("float")), "pairs", ("c", "t", "m"))
+
+    def word(part):
+        g, lang = grams(part)
+        c, t = _counts(Sorted(pair_files), g["tail"], ("c", "t"))
+        zero = np.zeros(len(lang))
+        return np.concatenate([lang, lang]), np.concatenate([g["mid"], g["last"]]), [np.concatenate(v) for v in ((zero, 1 / t), (c / t, zero), (_discount(d2, lang, c) / t, zero))]
+
+    ones = written(_sums(docs, word, ["c", "t", "m"]).withColumn("c", F.round("c")).withColumn("t", F.round("t")), "words")
+    d1 = _discounts(ones.where("c > 0"))
+    word_files = write_sorted(ones.select("k", F.col("c").cast("long"), F.col("t").cast("long"), F.col("m").cast("float")), "words", ("c", "t", "m"))
+    whole = {r["lang_id"]: r for r in ones.where("c > 0").groupBy("lang_id").agg(F.sum("c").alias("c"), F.count("*").alias("v"), *[F.count_if(F.col("c") == i).alias(f"n{i}") for i in (1, 2)]).collect()}  # a row for each language
+    mass = {k: r["n1"] * d1[k][1] + r["n2"] * d1[k][2] + (r["v"] - r["n1"] - r["n2"]) * d1[k][3] for k, r in whole.items()}
+    return WordModel(tri_files, pair_files, word_files, d3, d2, d1, {k: r["c"] for k, r in whole.items()}, mass, {k: r["v"] + 1 for k, r in whole.items()})
+
+
+def word_log_probabilities(model: WordModel, column: pa.Array, langs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """ln p of each word and end mark by the counts of all other texts of its language; the rows' offsets."""
+    g, off = word_grams(column, langs)
+    n = np.diff(off)
+    if not len(g["tri"]):
+        return np.zeros(0), off
+    row, lang = np.repeat(np.arange(len(n)), n), np.repeat(langs, n)
+    salt = mix(row.astype(np.uint64), 9)
+    place = {}
+    for name, keys in g.items():
+        _, first, inverse, own = np.unique(mix(keys.view(np.uint64), 10) ^ salt, return_index=True, return_inverse=True, return_counts=True)
+        place[name] = first, inverse, own
+
+    def left(c, own, d, tongue):
+        rest = np.maximum(c - own, 0)
+        return rest, _discount(d, tongue, rest), _discount(d, tongue, c)
+
+    def per(name, first, weights):
+        """Sums of the weights of n-grams (places of their first occurrences) over their part `name`."""
+        return np.bincount(place[name][1][first], weights=weights, minlength=len(place[name][0]))
+
+    threes, pairs, words = model.tables()
+    first3, in3, own3 = place["tri"]
+    c3, d3, d3_all = left(threes.values(g["tri"][first3], "c", absent=1, kind=np.float64)[0], own3, model.d3, lang[first3])
+    gone3 = (c3 == 0).astype(float)
+    heads = place["head"][0]
+    t3, m3 = pairs.values(g["head"][heads], "t", "m", absent=0, kind=np.float64)
+    t3, m3 = t3 - place["head"][2], m3 - per("head", first3, d3_all - d3)
+
+    first2, in2, _ = place["tail"]
+    c2, d2, d2_all = left(pairs.values(g["tail"][first2], "c", absent=1, kind=np.float64)[0], per("tail", first3, gone3), model.d2, lang[first2])
+    gone2 = (c2 == 0).astype(float)
+    mids = place["mid"][0]
+    t2, m2 = words.values(g["mid"][mids], "t", "m", absent=0, kind=np.float64)
+    t2, m2 = t2 - per("mid", first3, gone3), m2 - per("mid", first2, d2_all - d2)
+
+    first1, in1, _ = place["last"]
+    c1, d1, d1_all = left(words.values(g["last"][first1], "c", absent=1, kind=np.float64)[0], per("last", first2, gone2), model.d1, lang[first1])
+    of = lambda numbers, absent: np.array([numbers.get(x, absent) for x in langs.tolist()], dtype=float)
+    t1 = of(model.total, 0) - np.bincount(row[first2], weights=gone2, minlength=len(n))
+    m1 = of(model.mass, 0) - np.bincount(row[first1], weights=d1_all - d1, minlength=len(n))
+
+    def mixed(c, d, t, m, low):
+        seen = t > 0.5
+        t = np.where(seen, t, 1)
+        return np.where(seen, (c - d) / t + np.maximum(m, 0) / t * low, low)
+
+    p = mixed(c1[in1], d1[in1], t1[row], m1[row], 1 / of(model.size, 1)[row])
+    p = mixed(c2[in2], d2[in2], t2[place["mid"][1]], m2[place["mid"][1]], p)
+    p = mixed(c3[in3], d3[in3], t3[place["head"][1]], m3[place["head"][1]], p)
+    return np.log(np.maximum(p, 1e-30)), off
+
+
 def base_counts(column: pa.Array) -> dict[str, np.ndarray]:
     r"""n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of each row."""
     raw, offsets = text_buffers(column)
@@ -243,7 +479,7 @@ def with_lang_ids(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(docs: DataFrame, order: int = ORDER, below: float = LOWER, above: float = UPPER) -> DataFrame:
-    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, perplexity, kept)."""
+    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, perplexity, lower, upper, word_perplexity, word_upper, kept)."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     codes = {r["lang"]: r["lang_id"] for r in with_lang_ids(rows.select("lang")).distinct().collect()}  # a row for each language
@@ -253,6 +489,7 @@ def quality_rules(docs: DataFrame, order: int = ORDER, below: float = LOWER, abo
     key = F.shiftleft(F.col("lang_id").cast("long"), 51).bitwiseOR(F.shiftleft(F.col("n").cast("long"), 48)).bitwiseOR(F.col("k"))
     files = write_sorted(entries.select(key.alias("k"), F.col("logp").cast("float").alias("logp"), F.col("back").cast("float").alias("back")), "model", ("logp", "back"))
     floor = {r["lang_id"]: float(r["logp"]) for r in unseen.collect()}  # a row for each language
+    word_model = word_tables(rows)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def score(batches):
@@ -265,23 +502,32 @@ def quality_rules(docs: DataFrame, order: int = ORDER, below: float = LOWER, abo
                 logs = np.concatenate([[0.0], np.cumsum(log_probabilities(model, floor, lang, keys, order))])
                 n = np.diff(off)
                 mean = (logs[off[1:]] - logs[off[:-1]]) / np.maximum(n, 1)
+                word_logs, word_off = word_log_probabilities(word_model, part.column("text"), part.column("lang_id").to_numpy())
+                word_logs, tokens = np.concatenate([[0.0], np.cumsum(word_logs)]), np.diff(word_off)
+                word_mean = (word_logs[word_off[1:]] - word_logs[word_off[:-1]]) / np.maximum(tokens, 1)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("lang_id"), *[pa.array(counts[c].astype(np.int64)) for c in names], pa.array(n.astype(np.int64)), pa.array(-mean, mask=n == 0)],
-                    names=["doc_id", "lang_id", *names, "n_chars", "log_ppl"],
+                    [part.column("doc_id"), part.column("lang_id"), *[pa.array(counts[c].astype(np.int64)) for c in names], pa.array(n.astype(np.int64)), pa.array(-mean, mask=n == 0), pa.array(tokens.astype(np.int64)), pa.array(-word_mean, mask=tokens == 0)],
+                    names=["doc_id", "lang_id", *names, "n_chars", "log_ppl", "n_tokens", "word_log_ppl"],
                 )
 
-    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_id int, " + ", ".join(f"{c} long" for c in names) + ", n_chars long, log_ppl double"
+    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_id int, " + ", ".join(f"{c} long" for c in names) + ", n_chars long, log_ppl double, n_tokens long, word_log_ppl double"
     scored = written(rows.select("doc_id", "text", "lang_id").mapInArrow(score, schema), "scored")
-    middle = scored.groupBy("lang_id").agg(F.percentile_approx("log_ppl", 0.5, 10000).alias("middle"))
     small = F.broadcast if len(codes) <= 64 else (lambda df: df)
-    root = F.sqrt(F.greatest(F.col("n_chars"), F.lit(1)).cast("double"))
-    apart = scored.join(small(middle), "lang_id").groupBy("lang_id", "middle").agg(F.percentile_approx(F.abs(F.col("log_ppl") - F.col("middle")) * root, 0.5, 10000).alias("mad"))
-    joined = scored.join(small(apart), "lang_id", "left")
-    deviation = 1.4826 * F.coalesce("mad", F.lit(0.0)) / root
-    low, high = F.col("middle") - below * deviation - LEAST, F.col("middle") + above * deviation + 10 * LEAST
+    joined, bands = scored, {}
+    for log, length in (("log_ppl", "n_chars"), ("word_log_ppl", "n_tokens")):
+        root = F.sqrt(F.greatest(F.col(length), F.lit(1)).cast("double"))
+        middle = scored.groupBy("lang_id").agg(F.percentile_approx(log, 0.5, 10000).alias("middle"))
+        apart = scored.join(small(middle), "lang_id").groupBy("lang_id", "middle").agg(F.percentile_approx(F.abs(F.col(log) - F.col("middle")) * root, 0.5, 10000).alias("mad"))
+        joined = joined.join(small(apart.withColumnsRenamed({"middle": f"{log}_middle", "mad": f"{log}_mad"})), "lang_id", "left")
+        deviation = 1.4826 * F.coalesce(f"{log}_mad", F.lit(0.0)) / root
+        bands[log] = F.col(f"{log}_middle") - below * deviation - LEAST, F.col(f"{log}_middle") + above * deviation + 10 * LEAST
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    inside = F.coalesce(F.col("log_ppl").between(low, high), F.lit(False))
-    return joined.select("doc_id", *names, failed.alias("base_failed"), F.exp("log_ppl").alias("perplexity"), F.exp(low).alias("lower"), F.exp(high).alias("upper"), (~failed & inside).alias("kept"))
+    (low, high), (_, word_high) = bands.values()
+    inside, ordered = F.coalesce(F.col("log_ppl").between(low, high), F.lit(False)), F.coalesce(F.col("word_log_ppl") <= word_high, F.lit(False))
+    return joined.select(
+        "doc_id", *names, failed.alias("base_failed"), F.exp("log_ppl").alias("perplexity"), F.exp(low).alias("lower"), F.exp(high).alias("upper"),
+        F.exp("word_log_ppl").alias("word_perplexity"), F.exp(word_high).alias("word_upper"), (~failed & inside & ordered).alias("kept"),
+    )
 
 
 def op6_quality_rules(spark, sf_dir):

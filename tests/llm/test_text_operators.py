@@ -337,6 +337,66 @@ def test_kneser_ney_is_a_distribution_and_agrees_with_a_plain_model(spark):
     assert abs(sum(p(4, context | s) for s in levels[1]) + p(4, context | 4000) - 1) < 1e-9
 
 
+def plain_word_model(texts):
+    """Perplexity of each text under the counts of all others: everything counted anew without it; discounts of all texts."""
+
+    def levels(some):
+        three = collections.Counter()
+        for t in some:
+            w = ["<s>", "<s>", *WORD.findall(t.lower()), "</s>"]
+            three.update(zip(w, w[1:], w[2:]))
+        two = collections.Counter(k[1:] for k in three)
+        return {3: three, 2: two, 1: collections.Counter(k[1:] for k in two)}
+
+    def discounts(table):
+        n = [sum(v == i for v in table.values()) for i in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.5
+        return [0.0, *[min(max(i - (i + 1) * y * (n[i] / n[i - 1] if n[i - 1] else 0.5), 0.1), i - 0.1) for i in (1, 2, 3)]]
+
+    whole = levels(texts)
+    d = {n: discounts(t) for n, t in whole.items()}
+    out = []
+    for i, text in enumerate(texts):
+        others = levels(texts[:i] + texts[i + 1 :])
+
+        def p(k):
+            if not k:
+                return 1 / (len(whole[1]) + 1)
+            n, low = len(k), p(k[1:])
+            same = {x: c for x, c in others[n].items() if x[:-1] == k[:-1]}
+            if not same:
+                return low
+            cut = lambda c: d[n][min(c, 3)]
+            c = same.get(k, 0)
+            return (c - cut(c) + sum(map(cut, same.values())) * low) / sum(same.values())
+
+        w = ["<s>", "<s>", *WORD.findall(text.lower()), "</s>"]
+        logs = [np.log(p(k)) for k in zip(w, w[1:], w[2:])]
+        out.append(np.exp(-np.mean(logs)))
+    return out
+
+
+def test_word_model_agrees_with_a_plain_one(spark):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("a b c d e Fa g".split()) for _ in range(rng.randrange(3, 40))) for _ in range(12)]
+    texts += [texts[0], "x y z x y z", "lone"]
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.word_perplexity for r in quality.quality_rules(df).collect()}
+    assert np.allclose([got[i] for i in range(len(texts))], plain_word_model(texts), rtol=1e-4)
+
+
+def test_word_entries_grow_with_the_input(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id", "text", "0 lang_id")
+    trigrams = lambda df: quality._sums(df, lambda part: (np.zeros(len(g := quality.word_grams(part.column("text"), part.column("lang_id").to_numpy())[0]["tri"]), np.int64), g, [np.ones(len(g))]), ["c"]).count()
+    half, whole = trigrams(docs.where("doc_id % 2 = 0")), trigrams(docs)
+    expected = set()
+    for r in docs.collect():
+        if w := re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), r.text or "")):
+            w = ["<s>", "<s>", *w, "</s>"]
+            expected.update(zip(w, w[1:], w[2:]))
+    assert whole == len(expected) and whole > 1.5 * half
+
+
 # --- op 7 ------------------------------------------------------------------------------------
 
 
