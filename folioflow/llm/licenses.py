@@ -1,11 +1,11 @@
-"""License scan: winnowed fingerprints of templates pick candidates, banded alignment reports spans.
+"""License scan: winnowed fingerprints of templates pick candidates, chained hits report spans.
 
-Templates are short notices and opening paragraphs of public licenses. Their words' `K`-grams are
+Templates are whole license texts (the long ones in `license_texts`) and short notices. Their words' `K`-grams are
 hashed and winnowed (the least hash of every `WINDOW` in a row), so any `K + WINDOW - 1` words
 in common share a fingerprint. The inverted index is as small as the list of templates and
 travels with the code. Each text is tokenized and looked up whole, vectorised; only around
-hits, a banded alignment of the template with the text gives matched words, coverage and the
-span. Of overlapping matches the one with most matched words stays.
+fingerprints, all word K-grams in common with a template are chained over neighbouring diagonals, which
+gives matched words, coverage and the span. A notice of another version or variant is no match. Of overlapping matches the one with most matched words stays.
 
 Edge cases: null and empty texts match nothing; repeated rows match each; a null doc_id is
 returned as it is; ties go to the template first in the list; an empty table gives an
@@ -14,17 +14,22 @@ empty result; other columns are ignored. A document without matches has no row.
 
 from __future__ import annotations
 
+from importlib.resources import files
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from folioflow.llm.common import read_table, slices, text_buffers
-from folioflow.llm.words import mix, spans
+from folioflow.llm.words import mix, spans, take_ranges
 
 K = 3
 WINDOW = 3
 COVERAGE = 0.8
-BAND = 8
+PART = 20  # words that a part of a template has at least
+REACH = 200  # words that text or template may have between two hits of a chain
+NOTICE = 60  # templates of up to so many words must agree in version and variant
+VARIANTS = "0 1 2 3 4 5 apache mit bsd isc mpl mozilla gpl lgpl agpl gnu general lesser library affero cc by nc nd sa attribution sharealike noncommercial noderivatives noderivs".split()
 
 TEMPLATES: dict[str, str] = {
     "apache-2.0-notice": "Licensed under the Apache License, Version 2.0",
@@ -40,16 +45,12 @@ TEMPLATES: dict[str, str] = {
         "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, "
         "and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
-    ),
-    "bsd": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
-        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
-        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
-        "and/or other materials provided with the distribution."
+        ' THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
     ),
     "isc": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
         "provided that the above copyright notice and this permission notice appear in all copies."
+        ' THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'
     ),
     "gpl-3.0-notice": "This work is licensed under the GNU General Public License, version 3",
     "gpl-header": (
@@ -57,13 +58,15 @@ TEMPLATES: dict[str, str] = {
         "the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
     ),
     "lgpl-notice": "licensed under the GNU Lesser General Public License",
-    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "mpl-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "cc-by-nc-4.0-notice": "Licensed under CC BY-NC 4.0",
     "cc-by-4.0-notice": "Licensed under CC BY 4.0",
     "cc-by": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "cc-by-sa": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
-    "cc0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "cc0-notice": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
     "unlicense": "This is free and unencumbered software released into the public domain.",
+    "gpl-2.0-notice": "This work is licensed under the GNU General Public License, version 2",
+    **{x.name.removesuffix(".txt"): x.read_text() for x in sorted(files("folioflow.llm").joinpath("license_texts").iterdir(), key=lambda x: x.name) if x.name.endswith(".txt")},
 }
 
 _GAP = np.ones(256, dtype=bool)
@@ -88,42 +91,35 @@ class Index:
     def __init__(self, templates: dict[str, str] = TEMPLATES):
         self.names = list(templates)
         self.words: list[np.ndarray] = []
-        keys, owner, place = [], [], []
+        keys, owner, place, picks = [], [], [], []
         for t, text in enumerate(templates.values()):
             raw = np.frombuffer(text.encode(), dtype=np.uint8)
             h = _words(raw, np.array([0, len(raw)]))[2]
             self.words.append(h)
             grams = _grams(h)
-            picked = set()
-            for k in range(max(1, len(grams) - WINDOW + 1)):
-                picked.add(k + int(grams[k : k + WINDOW].argmin()))
-            for k in sorted(picked):
-                keys.append(grams[k])
-                owner.append(t)
-                place.append(k)
-        order = np.argsort(np.array(keys, dtype=np.uint64), kind="stable")
-        self.keys, self.owner, self.place = np.array(keys, np.uint64)[order], np.array(owner)[order], np.array(place)[order]
-
-    def scan(self, h: np.ndarray):
+            picked = {k + int(grams[k : k + WINDOW].argmin()) for k in range(max(1, len(grams) - WINDOW + 1))}
+            keys.append(grams)
+            owner.append(np.full(len(grams), t))
+            place.append(np.arange(len(grams)))
+            picks.append(grams[sorted(picked)])
+        keys = np.concatenate(keys)
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.owner, self.place = keys[order], np.concatenate(owner)[order], np.concatenate(place)[order]
+        self.fingerprints = np.unique(np.concatenate(picks))
+        raw = " ".join(VARIANTS).encode()
+        self.variants = np.unique(_words(np.frombuffer(raw, dtype=np.uint8), np.array([0, len(raw)]))[2])
+
+    def scan(self, h: np.ndarray, least: float = COVERAGE):
         """(template, matched words, coverage, first word, last word) of the matches in one text's words."""
         grams = _grams(h)
         low, high = np.searchsorted(self.keys, grams), np.searchsorted(self.keys, grams, side="right")
-        seen: dict[int, list[tuple[int, int]]] = {}
-        for at in np.flatnonzero(high > low).tolist():
-            for e in range(low[at], high[at]):
-                seen.setdefault(int(self.owner[e]), []).append((at, int(self.place[e])))
+        at = np.repeat(np.arange(len(grams)), high - low)
+        entry = take_ranges(low, high - low)
+        owner, place = self.owner[entry], self.place[entry]
         found = []
-        for t, hits in seen.items():
-            words = self.words[t]
-            band = min(BAND, max(2, len(words) // 3))  # a short notice may stand twice in a row
-            begins = sorted({at - place for at, place in hits})
-            while begins:  # one alignment for all hits near one diagonal
-                first = begins[0]
-                group = [b for b in begins if b - first <= band]
-                begins = begins[len(group) :]
-                matched, a, b = align(words, h, group[len(group) // 2], band)
-                if matched >= COVERAGE * len(words):
-                    found.append((t, matched, matched / len(words), a, b))
+        for t in np.unique(owner).tolist():
+            own = owner == t
+            found += self._matches(t, h, at[own], place[own], least)
         found.sort(key=lambda f: (-f[1], -f[2], f[0], f[3]))
         kept: list = []
         for f in found:
@@ -131,39 +127,63 @@ class Index:
                 kept.append(f)
         return sorted(kept, key=lambda f: f[3])
 
-
-def align(template: np.ndarray, text: np.ndarray, start: int, band: int = BAND) -> tuple[int, int, int]:
-    """Most template words matched in order in a band around the diagonal from `start`, and the first and last
-    text word of that match. Gaps cost nothing but the words they leave out."""
-    n, width = len(template), 2 * band + 1
-    best = np.zeros((n + 1, width + 2), dtype=np.int32)  # column c of row i: text position start + i - 1 + c - 1 - band
-    for i in range(1, n + 1):
-        row, prev = best[i], best[i - 1]
-        for c in range(1, width + 1):
-            j = start + i - 1 + c - 1 - band
-            same = 0 <= j < len(text) and text[j] == template[i - 1]
-            row[c] = max(prev[c] + same, prev[c + 1] if c < width else 0, row[c - 1])
-    matched = int(best[n, 1 : width + 1].max())
-    c = int(best[n, 1 : width + 1].argmax()) + 1
-    first = last = -1
-    i = n
-    while i > 0 and best[i, c] > 0:
-        j = start + i - 1 + c - 1 - band
-        same = 0 <= j < len(text) and text[j] == template[i - 1]
-        if same and best[i, c] == best[i - 1, c] + 1:
-            first, last = j, (j if last < 0 else last)
-            i -= 1
-        elif c < width and best[i, c] == best[i - 1, c + 1]:
-            i, c = i - 1, c + 1
-        elif c > 1 and best[i, c] == best[i, c - 1]:
-            c -= 1
-        else:
-            i -= 1
-    return matched, first, last
-
-
-def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
-    """(doc_id, license, coverage, matched_words, start, end): character spans; no shuffle."""
+    def _matches(self, t: int, h: np.ndarray, at: np.ndarray, place: np.ndarray, least: float):
+        words = self.words[t]
+        needed = max(least * len(words), min(PART, COVERAGE * len(words)))
+        reach = min(REACH, max(2, len(words) // 3))  # a short notice may stand twice in a row
+        while K * len(at) >= needed:
+            matched, text_at, template_at = chain(at, place, reach)
+            if matched < needed:
+                return
+            first, last = int(text_at[0]), int(text_at[-1])
+            if len(words) > NOTICE or self._same_variant(words, h, first, last, text_at, template_at):
+                yield t, matched, matched / len(words), first, last
+            rest = (at + K - 1 < first) | (at > last)
+            at, place = at[rest], place[rest]
+
+    def _same_variant(self, words, h, first, last, text_at, template_at) -> bool:
+        """No version or variant word of the template is missing and the span holds no other one."""
+        missing = np.delete(words, template_at)
+        extra = np.delete(h[first : last + 1], text_at - first)
+        return not np.isin(np.concatenate([missing, extra]), self.variants).any()
+
+
+def chain(at: np.ndarray, place: np.ndarray, reach: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """Words, their places in the text and in the template, of the chain of K-gram hits with most words.
+
+    Hits (by `at`, then `place`) follow one another in both; between two of them either side may hold up to
+    `reach` words that the other doesn't.
+    """
+    order = np.lexsort((place, at))
+    at, place = at[order].astype(np.int64), place[order].astype(np.int64)
+    score, back = np.full(len(at), K), np.full(len(at), -1)
+    start = np.searchsorted(at, at - reach - K)
+    stop = np.searchsorted(at, at)
+    for i in range(len(at)):
+        a, b = start[i], stop[i]
+        if a == b:
+            continue
+        x, y = at[i] - at[a:b], place[i] - place[a:b]
+        gain = np.where((y > 0) & (y <= reach + K) & ((x == y) | (np.minimum(x, y) >= K)), score[a:b] + np.minimum(np.minimum(x, y), K), 0)
+        # of equal chains the one on the nearest diagonal
+        j = int((gain * (4 * reach + 8) - np.abs(x - y)).argmax())
+        if gain[j] > K:
+            score[i], back[i] = gain[j], a + j
+    i = int(score.argmax())
+    hits = []
+    while i >= 0:
+        hits.append(i)
+        i = int(back[i])
+    hits = np.array(hits[::-1])
+    steps = np.arange(K)
+    return int(score.max()), np.unique(at[hits][:, None] + steps), np.unique(place[hits][:, None] + steps)
+
+
+def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = COVERAGE) -> DataFrame:
+    """(doc_id, license, coverage, matched_words, start, end): character spans; no shuffle.
+
+    Matches of less than `least` of the template are left out; 0 reports every part of `PART` words and more.
+    """
 
     def run(batches):
         index = Index(templates)
@@ -175,12 +195,12 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> Dat
                 grams = _grams(h)
                 hit = np.zeros(len(h), dtype=bool)
                 if len(grams):
-                    hit[: len(grams)] = np.isin(grams, index.keys)
+                    hit[: len(grams)] = np.isin(grams, index.fingerprints)
                 touched = np.concatenate([[0], np.cumsum(hit)])
                 chars = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
                 for k in np.flatnonzero(touched[off[1:]] > touched[off[:-1]]).tolist():
                     a = off[k]
-                    for t, matched, coverage, first, last in index.scan(h[a : off[k + 1]]):
+                    for t, matched, coverage, first, last in index.scan(h[a : off[k + 1]], least):
                         zero = chars[offsets[k]]
                         rows.append((part.column("doc_id")[k].as_py(), index.names[t], round(coverage, 4), matched, int(chars[s[a + first]] - zero), int(chars[e[a + last]] - zero)))
             columns = list(zip(*rows)) if rows else [[]] * 6
@@ -196,7 +216,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> Dat
 
 
 def op5_license_scan(spark, sf_dir):
-    return scan_licenses(read_table(spark, sf_dir, "documents"))
+    return scan_licenses(read_table(spark, sf_dir, "documents"), least=0.0)
 
 
 QUERIES = {"op5_license_scan": op5_license_scan}

@@ -268,6 +268,30 @@ def test_license_scan(spark, none):
     assert licenses.scan_licenses(none).count() == 0
 
 
+def test_license_texts_parts_and_kin(spark):
+    from importlib.resources import files
+
+    texts = {x.name[:-4]: x.read_text() for x in files("folioflow.llm").joinpath("license_texts").iterdir()}
+    mit = licenses.TEMPLATES["mit"]
+    half = mit.split()
+    split = " ".join([*half[:80], *("inserted%d" % k for k in range(30)), *half[80:]])
+    notice = licenses.TEMPLATES["gpl-3.0-notice"]
+    disclaimer = mit[mit.index("THE SOFTWARE IS PROVIDED") :]
+    rows = [*texts.items(), ("split", split), ("v9", notice.replace("3", "1")), ("lesser", notice.replace("General", "Lesser General")), ("cc", "Licensed under CC BY-SA 4.0"), ("part", "before it " + disclaimer)]
+    df = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], "doc_id long, text string")
+    found = collections.defaultdict(list)
+    for r in licenses.scan_licenses(df, least=0.0).collect():
+        found[rows[r.doc_id][0]].append(r)
+    for name, text in texts.items():
+        (r,) = found[name]
+        assert r.license == name and r.coverage == 1 and r.end - r.start > 0.95 * len(text.strip())
+    assert [(r.license, r.coverage) for r in found["split"]] == [("mit", 1)]
+    assert not {"v9", "cc"} & set(found) and all(r.license != "gpl-3.0-notice" for r in found["lesser"])
+    (r,) = found["part"]
+    assert r.license == "mit" and 0.3 < r.coverage < 0.7
+    assert "part" not in {rows[r.doc_id][0] for r in licenses.scan_licenses(df).collect()}
+
+
 # --- op 6 ------------------------------------------------------------------------------------
 
 
