@@ -7,7 +7,7 @@ each bit's logistic loss by how well that bit did on its training texts and pick
 codeword of least loss; the softmax of the losses is the score, and a text whose two best
 codewords are within `ambiguous` of one another is flagged.
 
-Training takes a bounded sample: about `most` labelled rows (by hash of the id). Everything
+Training takes a bounded sample: about `most` labelled rows of each language (by hash of the id), all of a rare one. Everything
 else covers whole texts of all rows. Prediction sees the text alone.
 
 Edge cases: a null text and one without letters give `und` and score 0; with no labelled text at
@@ -115,11 +115,14 @@ class Model:
 
 
 def train(docs: DataFrame, most: int = MOST, smooth: float = SMOOTH, bits: int = BITS) -> Model:
-    """A model from about `most` rows (text, lang) of `docs`; the sample is taken by hash of doc_id."""
+    """A model from about `most` rows (text, lang) of every language of `docs`, all rows of a language of fewer.
+
+    The sample is taken by hash of doc_id; a language has the same chance of being learned at every size of the table.
+    """
     labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL")
-    rows = docs.where("lang IS NOT NULL").select("lang").count()  # reads one column
-    share = min(1.0, most / max(rows, 1))
-    sample = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    shares = labelled.groupBy("lang").agg(F.count("*").alias("__rows")).select(F.col("lang").alias("__lang"), F.least(F.lit(1.0), most / F.col("__rows")).alias("__share"))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
+    sample = labelled.join(F.broadcast(shares), F.col("lang") == F.col("__lang")).where(place < F.col("__share"))  # a row for each language
 
     def count(batches):
         held: dict[str, np.ndarray] = {}

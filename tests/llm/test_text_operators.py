@@ -527,6 +527,15 @@ def test_codewords_differ(n):
         assert (np.abs(code.sum(axis=0)) < n).all()
 
 
+def test_every_language_is_learned(spark):
+    rows = [(k, "the words of a common tongue", "en") for k in range(6000)] + [(10_000 + k, "rarissima verba paucorum hominum", "la") for k in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(df, most=50)
+    assert list(model.languages) == ["en", "la"]
+    got = {r.doc_id: r.lang_pred for r in langid.identify(df.where("doc_id >= 10000 OR doc_id < 3"), model).collect()}
+    assert {got[k] for k in (10_000, 10_001, 10_002)} == {"la"} and {got[k] for k in (0, 1, 2)} == {"en"}
+
+
 # --- op 10 -----------------------------------------------------------------------------------
 
 
