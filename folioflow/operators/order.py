@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,13 +73,43 @@ def by_columns(spans: DataFrame, keys=KEYS) -> DataFrame:
 def precedence(df: DataFrame, keys=KEYS, band: float = 5.0) -> DataFrame:
     """Topological order where a precedes b if it is left of it on its line (|dy| < band) or above it.
 
-    With ties by sequence this relation orders any two blocks, so a block's rank is its number of
-    predecessors; the count sorts by lines of one y, as a range of y, without pairing all blocks.
+    Blocks whose y follow one another within `band` form a run. A run that lies within `band` as a whole is
+    ordered by x alone; in a longer one the relation is applied block by block (`_topological`). Ties go by y,
+    x and sequence.
     """
     keys = list(keys)
     w = Window.partitionBy(*keys).orderBy(F.col("y").desc(), "x", "sequence")
-    lines = df.withColumn("__new", F.coalesce(F.lag("y").over(w) - F.col("y") >= band, F.lit(True)).cast("int")).withColumn("__line", F.sum("__new").over(w))
-    return _ranked(lines, keys, "__line", "x").drop("__new", "__line")
+    lines = df.withColumn("__new", F.coalesce(F.lag("y").over(w) - F.col("y") >= band, F.lit(True)).cast("int")).withColumn("__line", F.sum("__new").over(w)).withColumn("__row", F.row_number().over(w))
+    run = Window.partitionBy(*keys, "__line")
+    lines = lines.drop("__new").withColumn("__long", F.coalesce(F.max("y").over(run) - F.min("y").over(run) >= band, F.lit(False)))
+    longer = lines.where("__long").select(*keys, "__line", "__row", "y", "x")
+    types = {f.name: f.dataType.simpleString() for f in longer.schema.fields}
+
+    def place(table: pa.Table) -> pa.Table:
+        table = table.sort_by("__row")
+        y, x = (table.column(c).cast(pa.float64()).fill_null(-math.inf).to_numpy() for c in ("y", "x"))
+        return table.select([*keys, "__row"]).append_column("__at", pa.array(_topological(y, x, band)))
+
+    placed = longer.groupBy(*keys, "__line").applyInArrow(place, ", ".join(f"`{c}` {types[c]}" for c in (*keys, "__row")) + ", __at long")
+    same = [lines[c].eqNullSafe(placed[c]) for c in (*keys, "__row")]
+    joined = lines.join(placed, reduce(lambda p, q: p & q, same), "left").select(*[lines[c] for c in df.columns], lines["__line"], "__at")
+    return _ranked(joined, keys, "__line", "__at", "x").drop("__line", "__at")
+
+
+def _topological(y: np.ndarray, x: np.ndarray, band: float) -> np.ndarray:
+    """Place of each block (sorted by y, top first): Kahn's order of "left of it within `band`, or above it".
+
+    Where the relation runs in a circle, the leftmost block that nothing is above goes first.
+    """
+    at, rest = np.zeros(len(y), dtype=np.int64), np.arange(len(y))
+    for k in range(len(y)):
+        near = rest[: int(np.searchsorted(-y[rest], 2 * band - y[rest[0]]))]  # what can precede a block that nothing is above
+        free = near[y[near[0]] - y[near] < band]
+        first = ~((x[near] < x[free, None]) & (np.abs(y[near] - y[free, None]) < band)).any(axis=1)
+        chosen = free[first.argmax()] if first.any() else free[x[free].argmin()]
+        at[chosen] = k
+        rest = rest[rest != chosen]
+    return at
 
 
 def two_columns(df: DataFrame, keys=KEYS, page_width: float = 612.0) -> DataFrame:

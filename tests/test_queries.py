@@ -109,3 +109,13 @@ def test_the_rest_stands_without_the_training_subpackage():
         for node in ast.walk(ast.parse(file.read_text())):
             names = [node.module or ""] if isinstance(node, ast.ImportFrom) else [a.name for a in node.names] if isinstance(node, ast.Import) else []
             assert not any("llm" in n.split(".") for n in names), file
+
+
+def test_precedence_of_staggered_baselines(spark):
+    rows = [(1, 0, k, y, x, n) for k, (y, x, n) in enumerate([(101.0, 100.0, "b"), (97.0, 10.0, "c"), (104.0, 50.0, "a"), (60.0, 9.0, "e"), (61.0, 5.0, "d")])]
+    rows += [(2, 0, k, 500.0 - 3 * k, float(k % 2), str(k)) for k in range(30)]
+    blocks = spark.createDataFrame(rows, "doc_id long, page int, sequence long, y double, x double, name string")
+    got = {i: [r.name for r in order.precedence(blocks).where(f"doc_id = {i}").orderBy("rank").collect()] for i in (1, 2)}
+    assert got[1] == ["a", "c", "b", "d", "e"]
+    at = {int(n): k for k, n in enumerate(got[2])}
+    assert sorted(at) == list(range(30)) and all(at[a] < at[b] for a in range(30) for b in range(a + 2, 30))
