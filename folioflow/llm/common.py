@@ -162,7 +162,7 @@ class _Sink:
         return len(data)
 
 
-@lru_cache(maxsize=512)
+@lru_cache(maxsize=2048)
 def _array(root: str, name: str) -> np.ndarray:
     filesystem, inner = pafs.FileSystem.from_uri(root)
     if isinstance(filesystem, pafs.LocalFileSystem):

@@ -1,16 +1,17 @@
 """Quality rules: repetition counts of whole texts and n-gram perplexity under a modified Kneser-Ney model.
 
 The model is one of characters, of order `ORDER`, per language (column `lang`; null is a
-language of its own), counted over all texts. A character is a 12-bit symbol (letters folded,
-white space one symbol, digits one, code points from 3840 on hashed to 256 symbols), so an
-n-gram of up to four of them, its order and the language's number pack into one 64-bit key.
+language of its own), counted over all texts. A character is a symbol of 12 bits (letters folded,
+white space one symbol, digits one) or, from code point 3824 on, two of them, so that an n-gram of up to
+four symbols packs into 48 bits. Languages go by the 64-bit hash of their name.
 Spark counts the n-grams (each task sends a sorted, already summed table), derives
 continuation counts, discounts and interpolated probabilities by joins on those keys, and
 writes keys, log probabilities and back-off weights as sorted arrays in the shared folder,
 which scoring tasks map into memory.
 
 A second model counts words, order three, without any bound: `word_tables` counts every trigram
-of folded words under a 64-bit hash, and each text is scored by the counts of all *other* texts
+of folded words under a hash (`keyed`: sorted compressed blocks travel, about four bytes a key), and
+each text is scored by the counts of all *other* texts
 (its own are taken off at every order), for otherwise any rare word sequence would be
 explained by itself. So a trigram or bigram that stands once in all texts needs no entry: it is
 counted in its contexts and in the discounts, and a text that meets no entry is the one that
@@ -26,7 +27,7 @@ operator's matter.
 Edge cases: null and empty texts have zero counts and fail the base rules (fewer than ten words);
 perplexity is null for a text without characters; a language whose texts all score alike
 has a band of `LEAST` below and ten times that above; repeated rows count twice in the model; an empty table gives an empty
-result; other columns are ignored. Languages beyond 4,096 share numbers by remainder. A language
+result; other columns are ignored. A language
 of one text has no other texts: its words are all equally likely.
 """
 
@@ -34,11 +35,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.llm.common import Sorted, read_table, slices, text_buffers, write_sorted, written
-from folioflow.llm.words import lines, mix, shingles, spans, take_ranges
+from folioflow.llm.keyed import Sums, freed, sums
+from folioflow.llm.words import groups, lines, mix, shingles, spans, take_ranges
 
 ORDER = 4
 LOWER, UPPER = 4.5, 9.0  # reach below and above the median, in standard deviations
@@ -47,22 +49,32 @@ LEAST_WORDS = 10
 MOST_REPEATED = 20  # percent of the words in repeated windows
 
 START, END = 1, 2
+_STEP = np.uint64(0x9FB21C651E98DF25)
+WIDE = 3824  # code points from here on are two symbols: 3824 + code // 4096, then code % 4096
 _SYMBOL = None
 
 
-def symbols(codes: np.ndarray) -> np.ndarray:
+def symbols(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The 12-bit symbols of code points, and how many each of them has (1 or 2)."""
     global _SYMBOL
     if _SYMBOL is None:
-        table = np.arange(3840, dtype=np.uint16)
-        for c in range(3840):
+        table = np.arange(WIDE, dtype=np.uint16)
+        for c in range(WIDE):
             low = chr(c).lower()
-            if len(low) == 1 and ord(low) < 3840:
+            if len(low) == 1 and ord(low) < WIDE:
                 table[c] = ord(low)
         table[[0x20, *range(0x09, 0x0E), 0x85, 0xA0]] = 0x20
         table[0x30:0x3A] = 0x30
         table[:3] = 0x7F
         _SYMBOL = table
-    return np.where(codes < 3840, _SYMBOL[np.minimum(codes, 3839)], 3840 + codes % 256).astype(np.int64)
+    wide = codes >= WIDE
+    first = np.where(wide, WIDE + (codes >> np.uint32(12)), _SYMBOL[np.minimum(codes, WIDE - 1)]).astype(np.int64)
+    n = 1 + wide.astype(np.int64)
+    if not wide.any():
+        return first, n
+    out = np.repeat(first, n)
+    out[(np.cumsum(n) - 1)[wide]] = codes[wide] & np.uint32(4095)
+    return out, n
 
 
 def char_ngrams(raw: np.ndarray, offsets: np.ndarray, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
@@ -72,12 +84,13 @@ def char_ngrams(raw: np.ndarray, offsets: np.ndarray, order: int = ORDER) -> tup
     """
     codes = np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), dtype=np.uint32)
     chars = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])[offsets]
-    n = np.diff(chars)
+    values, each = symbols(codes)
+    n = np.diff(np.concatenate([[0], np.cumsum(each)])[chars])
     rows = np.flatnonzero(n)
     size = np.where(n > 0, n + order, 0)
     off = np.concatenate([[0], np.cumsum(size)])
     line = np.full(off[-1], START, dtype=np.int64)
-    line[take_ranges(off[rows] + order - 1, n[rows])] = symbols(codes)
+    line[take_ranges(off[rows] + order - 1, n[rows])] = values
     line[off[rows + 1] - 1] = END
     key = line.copy()
     for k in range(1, order):
@@ -104,7 +117,7 @@ def count_ngrams(docs: DataFrame, order: int = ORDER) -> DataFrame:
         def flush():
             for lang, parts in held.items():
                 keys, counts = merge(parts)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), lang, np.int32)), pa.array(keys), pa.array(counts)], names=["lang_id", "k", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), lang, np.int64)), pa.array(keys), pa.array(counts)], names=["lang_id", "k", "c"])
 
         for batch in batches:
             for part in slices(batch):
@@ -126,7 +139,7 @@ def count_ngrams(docs: DataFrame, order: int = ORDER) -> DataFrame:
                         held, size = {}, 0
         yield from flush()
 
-    return docs.select("text", "lang_id").mapInArrow(run, "lang_id int, k long, c long").groupBy("lang_id", "k").agg(F.sum("c").alias("c"))
+    return docs.select("text", "lang_id").mapInArrow(run, "lang_id long, k long, c long").groupBy("lang_id", "k").agg(F.sum("c").alias("c"))
 
 
 def kneser_ney(counts: DataFrame, order: int = ORDER) -> tuple[DataFrame, DataFrame]:
@@ -178,18 +191,34 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> tuple[DataFrame, DataFr
     return entries, unseen
 
 
-def _key(lang: np.ndarray, n: int, k: np.ndarray) -> np.ndarray:
-    return (lang.astype(np.int64) << np.int64(51)) | (np.int64(n) << np.int64(48)) | k
+def _key(lang: np.ndarray, n: int | np.ndarray, k: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of language, order and packed n-gram."""
+    with np.errstate(over="ignore"):
+        return mix(mix(lang.view(np.uint64), 40) + mix(k.view(np.uint64), 41) + mix(np.asarray(n, dtype=np.int64).view(np.uint64), 42), 43).view(np.int64)
+
+
+def model_files(entries: DataFrame, unseen: DataFrame) -> list[dict]:
+    """Sorted arrays of all orders; an unseen symbol's log probability is the entry of order 0."""
+
+    def keyed(batches):
+        for b in batches:
+            lang, n, k = (b.column(c).to_numpy() for c in ("lang_id", "n", "k"))
+            yield pa.RecordBatch.from_arrays([pa.array(_key(lang, n.astype(np.int64), k)), b.column("logp"), b.column("back")], names=["k", "logp", "back"])
+
+    columns = "lang_id", F.col("n").cast("long").alias("n"), "k", F.col("logp").cast("float").alias("logp"), F.col("back").cast("float").alias("back")
+    rows = entries.select(*columns).unionByName(unseen.withColumns({"n": F.lit(0), "k": F.lit(0).cast("long"), "back": F.lit(0.0)}).select(*columns))
+    return write_sorted(rows.mapInArrow(keyed, "k long, logp float, back float"), "model", ("logp", "back"))
 
 
-def log_probabilities(model: Sorted, unseen: dict[int, float], lang: np.ndarray, keys: np.ndarray, order: int = ORDER) -> np.ndarray:
+def log_probabilities(model: Sorted, lang: np.ndarray, keys: np.ndarray, order: int = ORDER) -> np.ndarray:
     """ln p of each packed n-gram's last symbol given the ones before, in its language's model."""
     if not len(keys):
         return np.zeros(0)
-    distinct, inverse = np.unique(_key(lang, order, keys), return_inverse=True)
-    tongue, gram = distinct >> np.int64(51), distinct & np.int64((1 << 48) - 1)
-    out = np.zeros(len(distinct))
-    rest = np.arange(len(distinct))
+    with np.errstate(over="ignore"):
+        first, inverse, _ = groups(keys.view(np.uint64) * _STEP + lang.view(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    tongue, gram = lang[first], keys[first]
+    out = np.zeros(len(first))
+    rest = np.arange(len(first))
     for n in range(order, 0, -1):
         if not len(rest):
             break
@@ -202,21 +231,21 @@ def log_probabilities(model: Sorted, unseen: dict[int, float], lang: np.ndarray,
             back = model.values(_key(tongue[rest], n - 1, k >> np.int64(12)), "back")[0]
             out[rest] += np.nan_to_num(back)
     if len(rest):
-        out[rest] += [unseen.get(t, -20.0) for t in tongue[rest].tolist()]
+        out[rest] += model.values(_key(tongue[rest], 0, np.zeros(len(rest), np.int64)), "logp", absent=-20.0)[0]
     return out[inverse]
 
 
 # --- words ------------------------------------------------------------------------------------
 
-_STEP = np.uint64(0x9FB21C651E98DF25)
 _EDGE = mix(np.array([START, END], dtype=np.uint64), 7)
 
 
 def word_grams(column: pa.Array, lang: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """Keys of the trigram that ends at every word and at the end mark of each row; the rows' offsets.
+    """Keys of the trigram that ends at every word and at the end mark of each row (tri), and the rows' offsets.
 
-    tri; its first two words (head), its last two (tail), its middle and its last word. A row
-    begins with two start marks; a row without words has no trigram.
+    Besides the keys of all pairs and words of the row but its first mark: tri[i] begins with pair[at[i]] and
+    ends with pair[at[i] + 1], whose words are word[at[i]] and word[at[i] + 1]. A row
+    begins with two start marks; a row without words has no trigram. `row` is the row of each pair.
     """
     _, _, h, off = spans(*text_buffers(column), lower=True)
     n = np.diff(off)
@@ -225,108 +254,26 @@ def word_grams(column: pa.Array, lang: np.ndarray) -> tuple[dict[str, np.ndarray
     line = np.full(line_off[-1], _EDGE[0])
     line[take_ranges(line_off[rows] + 2, n[rows])] = h
     line[line_off[rows + 1] - 1] = _EDGE[1]
-    tongue = np.repeat(mix(lang.astype(np.uint64), 8), np.where(n > 0, n + 3, 0))
-    use = take_ranges(line_off[rows] + 2, n[rows] + 1)
+    row = np.repeat(np.arange(len(n)), np.where(n > 0, n + 3, 0))
+    tongue = mix(lang.view(np.uint64), 8)[row]
     pair = line.copy()
     pair[1:] += line[:-1] * _STEP
     triple = line.copy()
     triple[1:] += pair[:-1] * _STEP
-    word, pair, triple = (mix(x + tongue, 50 + k).view(np.int64) for k, x in enumerate((line, pair, triple)))
-    return {"tri": triple[use], "head": pair[use - 1], "tail": pair[use], "mid": word[use - 1], "last": word[use]}, np.concatenate([[0], np.cumsum(np.where(n > 0, n + 1, 0))])
-
-
-def _summed(lang: np.ndarray, keys: np.ndarray, values: list[np.ndarray]):
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return lang[order][first].astype(np.int32), keys[first], [np.add.reduceat(v[order], first) if len(first) else v for v in values]
-
-
-def _sums(docs: DataFrame, rows_of, names: list[str]) -> DataFrame:
-    """(lang_id, k, *names): sums by key of what `rows_of` gives for a slice (lang, keys, values); each task sums its own before the shuffle."""
-
-    def run(batches):
-        held: list = []
-        size = 0
-
-        def merged():
-            return _summed(np.concatenate([p[0] for p in held]), np.concatenate([p[1] for p in held]), [np.concatenate(v) for v in zip(*(p[2] for p in held))])
-
-        def sent(part):
-            for a in range(0, len(part[1]), 1 << 18):
-                b = slice(a, a + (1 << 18))
-                yield pa.RecordBatch.from_arrays([pa.array(part[0][b].astype(np.int32)), pa.array(part[1][b]), *[pa.array(v[b]) for v in part[2]]], names=["lang_id", "k", *names])
-
-        for batch in batches:
-            for part in slices(batch, most=1 << 20):
-                held.append(_summed(*rows_of(part)))
-                size += len(held[-1][1])
-                if size > 800_000:
-                    held = [merged()]
-                    size = len(held[0][1])
-                    if size > 400_000:  # bounds the worker's memory; Spark sums what is sent twice
-                        yield from sent(held[0])
-                        held, size = [], 0
-        if held:
-            yield from sent(merged())
-
-    rows = docs.select("text", "lang_id").mapInArrow(run, "lang_id int, k long, " + ", ".join(f"{c} double" for c in names))
-    return rows.groupBy("lang_id", "k").agg(*[F.sum(c).alias(c) for c in names])
-
-
-def _without_single(df: DataFrame, once: str) -> DataFrame:
-    """`df` without the rows where all of `once` are 1; in their place a row for each language and task, k null and c their number."""
-    names = df.columns
-
-    def run(batches):
-        singles: dict[int, int] = {}
-        for batch in batches:
-            own = np.ones(batch.num_rows, bool)
-            for c in once.split():
-                own &= batch.column(c).to_numpy() == 1
-            for lang, n in zip(*np.unique(batch.column("lang_id").to_numpy()[own], return_counts=True)):
-                singles[int(lang)] = singles.get(int(lang), 0) + int(n)
-            yield batch.filter(pa.array(~own))
-        for lang, n in singles.items():
-            yield pa.RecordBatch.from_pylist([{"lang_id": lang, "c": float(n)}], schema=pa.schema([(c, pa.int32() if c == "lang_id" else pa.int64() if c == "k" else pa.float64()) for c in names]))
-
-    return df.mapInArrow(run, df.schema)
-
-
-def _discounts(table: DataFrame) -> dict[int, np.ndarray]:
-    """Language to its discounts of counts 0, 1, 2 and from 3 on; a row for each language comes to the driver."""
-    kinds = [F.sum(F.when(F.col("k").isNull(), F.col("c") if i == 1 else F.lit(0)).otherwise((F.col("c") == i).cast("int"))).alias(f"n{i}") for i in (1, 2, 3, 4)]
-    out = {}
-    for r in table.groupBy("lang_id").agg(*kinds).collect():
-        n = [float(r[f"n{i}"]) for i in (1, 2, 3, 4)]
-        y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.5
-        out[r["lang_id"]] = np.array([0.0, *[min(max(i - (i + 1) * y * (n[i] / n[i - 1] if n[i - 1] else 0.5), 0.1), i - 0.1) for i in (1, 2, 3)]])
-    return out
-
-
-def _discount(of: dict[int, np.ndarray], lang: np.ndarray, c: np.ndarray) -> np.ndarray:
-    table = np.zeros((int(lang.max(initial=0)) + 1, 4))
-    for tongue, d in of.items():
-        if tongue < len(table):
-            table[tongue] = d
-    return table[lang, np.minimum(c, 3).astype(np.int64)]
+    rest = np.ones(len(line), bool)
+    rest[line_off[rows]] = False  # the first mark ends no pair
+    use = rest.copy()
+    use[line_off[rows] + 1] = False
+    at = (np.cumsum(rest) - 1)[use] - 1
+    key = lambda x, k: mix(x + tongue, 50 + k).view(np.int64)
+    return {"tri": key(triple, 2)[use], "pair": key(pair, 1)[rest], "word": key(line, 0)[rest], "at": at, "row": row[rest]}, np.concatenate([[0], np.cumsum(np.where(n > 0, n + 1, 0))])
 
 
 class WordModel:
-    """Files and numbers of the word model: see `word_tables`."""
+    """Sums of the word model: see `word_tables`."""
 
-    def __init__(self, tri, pairs, words, d3, d2, d1, total, mass, size):
-        self.files, self.d3, self.d2, self.d1 = (tri, pairs, words), d3, d2, d1
-        self.total, self.mass, self.size = total, mass, size
-
-    def tables(self):
-        return tuple(Sorted(f) for f in self.files)
-
-
-def _counts(table: Sorted, keys: np.ndarray, names: tuple[str, ...], absent: float = 1.0):
-    """Values of every key; of those not in the table, `absent`."""
-    distinct, inverse = np.unique(keys, return_inverse=True)
-    return [v[inverse] for v in table.values(distinct, *names, absent=absent, kind=np.float64)]
+    def __init__(self, tri: Sums, pairs: Sums, words: Sums):
+        self.tri, self.pairs, self.words = tri, pairs, words
 
 
 def word_tables(docs: DataFrame) -> WordModel:
@@ -341,40 +288,38 @@ def word_tables(docs: DataFrame) -> WordModel:
     def grams(part):
         lang = part.column("lang_id").to_numpy()
         g, off = word_grams(part.column("text"), lang)
-        return g, np.repeat(lang, np.diff(off))
+        return g, lang, np.repeat(np.arange(len(lang)), np.diff(off))
 
     def tri(part):
-        g, lang = grams(part)
-        return lang, g["tri"], [np.ones(len(lang))]
+        g, lang, row = grams(part)
+        return lang[row], g["tri"], [np.ones(len(row))]
 
-    threes = written(_without_single(_sums(docs, tri, ["c"]), "c"), "trigrams")
-    d3 = _discounts(threes)
-    tri_files = write_sorted(threes.where("k is not null").select("k", F.col("c").cast("long")), "trigrams", ("c",))
-    end = _EDGE[1]
+    threes = sums(docs, tri, ("c",), "trigrams", once=("c",), whole=("c",))
+
+    def parts(table: Sums, lang, row, c, t):
+        """Of each n-gram's occurrence: its part of 1 and of its discount."""
+        return 1 / t, table.discounts(lang)[row, np.minimum(c, 3).astype(np.int64)] / t
 
     def pair(part):
-        g, lang = grams(part)
-        c = _counts(Sorted(tri_files), g["tri"], ("c",))[0]
-        zero, one = np.zeros(len(lang)), np.ones(len(lang))
-        last = g["last"] == mix(end + mix(lang.astype(np.uint64), 8), 50).view(np.int64)  # never the head of a trigram: counted as a tail
-        return np.concatenate([lang, lang]), np.concatenate([g["head"], g["tail"]]), [np.concatenate(v) for v in ((zero, 1 / c), (one, last.astype(float)), (_discount(d3, lang, c) / c, zero))]
+        g, lang, row = grams(part)
+        c3 = threes.values(g["tri"], "c", absent=1)[0]
+        n = len(g["pair"])
+        c, m = np.zeros(n), np.zeros(n)
+        c[g["at"] + 1], m[g["at"]] = parts(threes, lang, row, c3, c3)
+        return lang[g["row"]], g["pair"], [c, np.ones(n), m]  # the last pair of a text begins no trigram but has occurred
 
-    twos = written(_without_single(_sums(docs, pair, ["c", "t", "m"]).withColumn("c", F.round("c")), "c t"), "pairs")
-    d2 = _discounts(twos.where("k is null or c > 0"))
-    pair_files = write_sorted(twos.where("k is not null").select("k", F.col("c").cast("long"), F.col("t").cast("long"), F.col("m").cast("float")), "pairs", ("c", "t", "m"))
+    twos = sums(docs, pair, ("c", "t", "m"), "pairs", once=("c", "t"), whole=("c", "t"))
 
     def word(part):
-        g, lang = grams(part)
-        c, t = _counts(Sorted(pair_files), g["tail"], ("c", "t"))
-        zero = np.zeros(len(lang))
-        return np.concatenate([lang, lang]), np.concatenate([g["mid"], g["last"]]), [np.concatenate(v) for v in ((zero, 1 / t), (c / t, zero), (_discount(d2, lang, c) / t, zero))]
+        g, lang, row = grams(part)
+        c2, t2 = twos.values(g["pair"][g["at"] + 1], "c", "t", absent=1)
+        n = len(g["word"])
+        c, t, m = np.zeros(n), np.zeros(n), np.zeros(n)
+        c[g["at"] + 1], m[g["at"]] = parts(twos, lang, row, c2, t2)
+        t[g["at"]] = c2 / t2
+        return lang[g["row"]], g["word"], [c, t, m]
 
-    ones = written(_sums(docs, word, ["c", "t", "m"]).withColumn("c", F.round("c")).withColumn("t", F.round("t")), "words")
-    d1 = _discounts(ones.where("c > 0"))
-    word_files = write_sorted(ones.select("k", F.col("c").cast("long"), F.col("t").cast("long"), F.col("m").cast("float")), "words", ("c", "t", "m"))
-    whole = {r["lang_id"]: r for r in ones.where("c > 0").groupBy("lang_id").agg(F.sum("c").alias("c"), F.count("*").alias("v"), *[F.count_if(F.col("c") == i).alias(f"n{i}") for i in (1, 2)]).collect()}  # a row for each language
-    mass = {k: r["n1"] * d1[k][1] + r["n2"] * d1[k][2] + (r["v"] - r["n1"] - r["n2"]) * d1[k][3] for k, r in whole.items()}
-    return WordModel(tri_files, pair_files, word_files, d3, d2, d1, {k: r["c"] for k, r in whole.items()}, mass, {k: r["v"] + 1 for k, r in whole.items()})
+    return WordModel(threes, twos, sums(docs, word, ("c", "t", "m"), "words", whole=("c", "t")))
 
 
 def word_log_probabilities(model: WordModel, column: pa.Array, langs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -383,50 +328,56 @@ def word_log_probabilities(model: WordModel, column: pa.Array, langs: np.ndarray
     n = np.diff(off)
     if not len(g["tri"]):
         return np.zeros(0), off
-    row, lang = np.repeat(np.arange(len(n)), n), np.repeat(langs, n)
-    salt = mix(row.astype(np.uint64), 9)
-    place = {}
-    for name, keys in g.items():
-        _, first, inverse, own = np.unique(mix(keys.view(np.uint64), 10) ^ salt, return_index=True, return_inverse=True, return_counts=True)
-        place[name] = first, inverse, own
-
-    def left(c, own, d, tongue):
+    row, head = np.repeat(np.arange(len(n)), n), g["at"]
+    grouped = lambda keys, row: groups(keys.view(np.uint64) ^ mix(row.astype(np.uint64), 9))
+    first3, in3, own3 = grouped(g["tri"], row)
+    pair_at, pair_in, _ = grouped(g["pair"], g["row"])
+    word_at, word_in, _ = grouped(g["word"], g["row"])
+    in2, from3, in1, from2 = pair_in[head + 1], pair_in[head], word_in[head + 1], word_in[head]
+    own2 = np.bincount(from3, minlength=len(pair_at))  # texts' own occurrences of a pair at the head of a trigram
+
+    def left(c, own, d, at):
         rest = np.maximum(c - own, 0)
-        return rest, _discount(d, tongue, rest), _discount(d, tongue, c)
-
-    def per(name, first, weights):
-        """Sums of the weights of n-grams (places of their first occurrences) over their part `name`."""
-        return np.bincount(place[name][1][first], weights=weights, minlength=len(place[name][0]))
+        return rest, d[at, np.minimum(rest, 3).astype(np.int64)], d[at, np.minimum(c, 3).astype(np.int64)]
 
-    threes, pairs, words = model.tables()
-    first3, in3, own3 = place["tri"]
-    c3, d3, d3_all = left(threes.values(g["tri"][first3], "c", absent=1, kind=np.float64)[0], own3, model.d3, lang[first3])
+    threes, pairs, words = model.tri, model.pairs, model.words
+    c3, d3, d3_all = left(threes.values(g["tri"][first3], "c", absent=1)[0], own3, threes.discounts(langs), row[first3])
     gone3 = (c3 == 0).astype(float)
-    heads = place["head"][0]
-    t3, m3 = pairs.values(g["head"][heads], "t", "m", absent=0, kind=np.float64)
-    t3, m3 = t3 - place["head"][2], m3 - per("head", first3, d3_all - d3)
-
-    first2, in2, _ = place["tail"]
-    c2, d2, d2_all = left(pairs.values(g["tail"][first2], "c", absent=1, kind=np.float64)[0], per("tail", first3, gone3), model.d2, lang[first2])
+    c2, t2, m2 = pairs.values(g["pair"][pair_at], "c", "t", "m", absent=0)
+    lone = c2 + t2 == 0  # no entry: one occurrence in all texts, this one
+    c2[lone] = 1
+    t3, m3 = t2 - own2, m2 - np.bincount(from3[first3], weights=d3_all - d3, minlength=len(pair_at))
+
+    some2 = np.unique(in2)
+    place2 = np.full(len(pair_at), -1)
+    place2[some2] = np.arange(len(some2))
+    c2, d2, d2_all = left(c2[some2], np.bincount(place2[in2[first3]], weights=gone3, minlength=len(some2)), pairs.discounts(langs), g["row"][pair_at[some2]])
     gone2 = (c2 == 0).astype(float)
-    mids = place["mid"][0]
-    t2, m2 = words.values(g["mid"][mids], "t", "m", absent=0, kind=np.float64)
-    t2, m2 = t2 - per("mid", first3, gone3), m2 - per("mid", first2, d2_all - d2)
-
-    first1, in1, _ = place["last"]
-    c1, d1, d1_all = left(words.values(g["last"][first1], "c", absent=1, kind=np.float64)[0], per("last", first2, gone2), model.d1, lang[first1])
-    of = lambda numbers, absent: np.array([numbers.get(x, absent) for x in langs.tolist()], dtype=float)
-    t1 = of(model.total, 0) - np.bincount(row[first2], weights=gone2, minlength=len(n))
-    m1 = of(model.mass, 0) - np.bincount(row[first1], weights=d1_all - d1, minlength=len(n))
+    token2 = np.zeros(len(some2), np.int64)  # a token that ends each of these pairs
+    token2[place2[in2]] = np.arange(len(in2))
+    c1, t1, m1 = words.values(g["word"][word_at], "c", "t", "m", absent=0)
+    mids = from2[token2]
+    t2 = t1 - np.bincount(from2[first3], weights=gone3, minlength=len(word_at))
+    m2 = m1 - np.bincount(mids, weights=d2_all - d2, minlength=len(word_at))
+
+    some1 = np.unique(in1)
+    place1 = np.full(len(word_at), -1)
+    place1[some1] = np.arange(len(some1))
+    rows1 = g["row"][word_at[some1]]
+    c1, d1, d1_all = left(np.where(c1[some1] > 0, c1[some1], 1), np.bincount(place1[in1[token2]], weights=gone2, minlength=len(some1)), words.discounts(langs), rows1)
+    total, mass, distinct = words.language_numbers(langs, "total", "mass", "distinct")
+    t1 = total - np.bincount(row[token2], weights=gone2, minlength=len(n))
+    m1 = mass - np.bincount(rows1, weights=d1_all - d1, minlength=len(n))
 
     def mixed(c, d, t, m, low):
         seen = t > 0.5
         t = np.where(seen, t, 1)
         return np.where(seen, (c - d) / t + np.maximum(m, 0) / t * low, low)
 
-    p = mixed(c1[in1], d1[in1], t1[row], m1[row], 1 / of(model.size, 1)[row])
-    p = mixed(c2[in2], d2[in2], t2[place["mid"][1]], m2[place["mid"][1]], p)
-    p = mixed(c3[in3], d3[in3], t3[place["head"][1]], m3[place["head"][1]], p)
+    at1, at2 = place1[in1], place2[in2]
+    p = mixed(c1[at1], d1[at1], t1[row], m1[row], 1 / (distinct + 1)[row])
+    p = mixed(c2[at2], d2[at2], t2[from2], m2[from2], p)
+    p = mixed(c3[in3], d3[in3], t3[from3], m3[from3], p)
     return np.log(np.maximum(p, 1e-30)), off
 
 
@@ -446,14 +397,9 @@ def base_counts(column: pa.Array) -> dict[str, np.ndarray]:
     windows, window_off = shingles(h, off, 5)
     full = np.diff(off) >= 5
     values = windows[np.repeat(full, np.diff(window_off))]
-    order = np.lexsort((values, row[start]))
-    same = (values[order][1:] == values[order][:-1]) & (row[start][order][1:] == row[start][order][:-1])
-    twice = np.zeros(len(start), bool)
-    twice[order[1:][same]] = True
-    twice[order[:-1][same]] = True
-    edge = np.zeros(len(s) + 1, np.int64)
-    np.add.at(edge, start[twice], 1)
-    np.add.at(edge, start[twice] + 5, -1)
+    _, number, times = groups(values ^ mix(row[start].astype(np.uint64), 13))
+    twice = times[number] > 1
+    edge = np.bincount(start[twice], minlength=len(s) + 1) - np.bincount(start[twice] + 5, minlength=len(s) + 1)
     covered = np.concatenate([[0], np.cumsum(np.cumsum(edge[:-1]) > 0)])
     # lines that hold a word and equal an earlier one
     ls, le, lh, line_off = lines(raw, offsets)
@@ -471,24 +417,13 @@ def base_counts(column: pa.Array) -> dict[str, np.ndarray]:
     }
 
 
-def with_lang_ids(docs: DataFrame) -> DataFrame:
-    """`docs` with lang_id, a number for each language in code point order, null first (0)."""
-    langs = docs.select("lang").distinct().withColumn("lang_id", ((F.row_number().over(Window.orderBy(F.col("lang").asc_nulls_first())) - 1) % 4096).cast("int"))
-    names = langs.withColumnRenamed("lang", "__lang")
-    return docs.join(names, docs["lang"].eqNullSafe(F.col("__lang"))).drop("__lang")
-
-
 def quality_rules(docs: DataFrame, order: int = ORDER, below: float = LOWER, above: float = UPPER) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, perplexity, lower, upper, word_perplexity, word_upper, kept)."""
-    spark = docs.sparkSession
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    codes = {r["lang"]: r["lang_id"] for r in with_lang_ids(rows.select("lang")).distinct().collect()}  # a row for each language
-    mapping = F.coalesce(*[F.when(F.col("lang").eqNullSafe(F.lit(k)), F.lit(v)) for k, v in codes.items()], F.lit(0)) if len(codes) <= 64 else None
-    rows = rows.withColumn("lang_id", mapping.cast("int")) if mapping is not None else with_lang_ids(rows)
+    rows = rows.select("doc_id", "text", F.xxhash64("lang").alias("lang_id"))
     entries, unseen = kneser_ney(written(count_ngrams(rows, order), "ngrams"), order)
-    key = F.shiftleft(F.col("lang_id").cast("long"), 51).bitwiseOR(F.shiftleft(F.col("n").cast("long"), 48)).bitwiseOR(F.col("k"))
-    files = write_sorted(entries.select(key.alias("k"), F.col("logp").cast("float").alias("logp"), F.col("back").cast("float").alias("back")), "model", ("logp", "back"))
-    floor = {r["lang_id"]: float(r["logp"]) for r in unseen.collect()}  # a row for each language
+    files = model_files(entries, unseen)
+    freed(docs.sparkSession)
     word_model = word_tables(rows)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -499,7 +434,7 @@ def quality_rules(docs: DataFrame, order: int = ORDER, below: float = LOWER, abo
                 counts = base_counts(part.column("text"))
                 keys, off = char_ngrams(*text_buffers(part.column("text")), order)
                 lang = np.repeat(part.column("lang_id").to_numpy(), np.diff(off))
-                logs = np.concatenate([[0.0], np.cumsum(log_probabilities(model, floor, lang, keys, order))])
+                logs = np.concatenate([[0.0], np.cumsum(log_probabilities(model, lang, keys, order))])
                 n = np.diff(off)
                 mean = (logs[off[1:]] - logs[off[:-1]]) / np.maximum(n, 1)
                 word_logs, word_off = word_log_probabilities(word_model, part.column("text"), part.column("lang_id").to_numpy())
@@ -510,15 +445,14 @@ def quality_rules(docs: DataFrame, order: int = ORDER, below: float = LOWER, abo
                     names=["doc_id", "lang_id", *names, "n_chars", "log_ppl", "n_tokens", "word_log_ppl"],
                 )
 
-    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_id int, " + ", ".join(f"{c} long" for c in names) + ", n_chars long, log_ppl double, n_tokens long, word_log_ppl double"
+    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_id long, " + ", ".join(f"{c} long" for c in names) + ", n_chars long, log_ppl double, n_tokens long, word_log_ppl double"
     scored = written(rows.select("doc_id", "text", "lang_id").mapInArrow(score, schema), "scored")
-    small = F.broadcast if len(codes) <= 64 else (lambda df: df)
     joined, bands = scored, {}
     for log, length in (("log_ppl", "n_chars"), ("word_log_ppl", "n_tokens")):
         root = F.sqrt(F.greatest(F.col(length), F.lit(1)).cast("double"))
         middle = scored.groupBy("lang_id").agg(F.percentile_approx(log, 0.5, 10000).alias("middle"))
-        apart = scored.join(small(middle), "lang_id").groupBy("lang_id", "middle").agg(F.percentile_approx(F.abs(F.col(log) - F.col("middle")) * root, 0.5, 10000).alias("mad"))
-        joined = joined.join(small(apart.withColumnsRenamed({"middle": f"{log}_middle", "mad": f"{log}_mad"})), "lang_id", "left")
+        apart = scored.join(middle, "lang_id").groupBy("lang_id", "middle").agg(F.percentile_approx(F.abs(F.col(log) - F.col("middle")) * root, 0.5, 10000).alias("mad"))
+        joined = joined.join(apart.withColumnsRenamed({"middle": f"{log}_middle", "mad": f"{log}_mad"}), "lang_id", "left")
         deviation = 1.4826 * F.coalesce(f"{log}_mad", F.lit(0.0)) / root
         bands[log] = F.col(f"{log}_middle") - below * deviation - LEAST, F.col(f"{log}_middle") + above * deviation + 10 * LEAST
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))

@@ -151,3 +151,26 @@ def take_ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     total = int(lengths.sum())
     before = np.concatenate([[0], np.cumsum(lengths)])[:-1]
     return np.repeat(starts - before, lengths) + np.arange(total)
+
+
+def sorting(keys: np.ndarray) -> np.ndarray:
+    """An order that sorts keys (uint64, hashes) by their upper bits; few keys are sorted with their places in the lower ones."""
+    bits = max(1, (len(keys) - 1).bit_length()) if len(keys) else 1
+    if bits > 20:
+        return np.argsort(keys)
+    mask = np.uint64((1 << bits) - 1)
+    both = (keys & ~mask) | np.arange(len(keys), dtype=np.uint64)
+    both.sort()
+    return (both & mask).astype(np.int64)
+
+
+def groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of hashed keys: a place for each distinct one, the number of each key's group, and the groups' sizes."""
+    order = sorting(keys)
+    ordered = keys[order]
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    number = np.empty(len(keys), dtype=np.int64)
+    number[order] = np.cumsum(new) - 1
+    at = np.flatnonzero(new)
+    return order[at], number, np.diff(np.append(at, len(keys)))

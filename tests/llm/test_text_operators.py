@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from folioflow.llm import common, jaccard, langid, licenses, lines, mixing, packing, quality, tokens, words
+from folioflow.llm import common, jaccard, keyed, langid, licenses, lines, mixing, packing, quality, tokens, words
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, kept string, component string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -320,7 +320,7 @@ def test_quality_counts(docs, none):
 
 def test_kneser_ney_is_a_distribution_and_agrees_with_a_plain_model(spark):
     texts = ["abab abba baab", "ab ba ab", "abc cab", "bb"]
-    df = spark.createDataFrame([(t, 0) for t in texts], "text string, lang_id int")
+    df = spark.createDataFrame([(t, 0) for t in texts], "text string, lang_id long")
     grams = collections.Counter()
     keys, _ = quality.char_ngrams(*common.text_buffers(pa.array(texts)))
     grams.update(keys.tolist())
@@ -328,7 +328,6 @@ def test_kneser_ney_is_a_distribution_and_agrees_with_a_plain_model(spark):
     assert counted == grams
     entries, unseen = quality.kneser_ney(common.written(quality.count_ngrams(df), "t"))
     table = {(r.n, r.k): (r.logp, r.back) for r in entries.collect()}
-    floor = unseen.first().logp
 
     level, levels = grams, {4: grams}
     for n in (3, 2, 1):
@@ -352,9 +351,9 @@ def test_kneser_ney_is_a_distribution_and_agrees_with_a_plain_model(spark):
         c = same.get(k, 0)
         return max(0.0, (c - discount(n, c)) / total if c else 0.0) + sum(discount(n, v) for v in same.values()) / total * low
 
-    files = common.write_sorted(entries.selectExpr("(cast(n as long) << 48) | k as k", "cast(logp as float) logp", "cast(back as float) back"), "t", ("logp", "back"))
+    files = quality.model_files(entries, unseen)
     probe, _ = quality.char_ngrams(*common.text_buffers(pa.array(["abacab zq"])))
-    got = quality.log_probabilities(common.Sorted(files), {0: floor}, np.zeros(len(probe), np.int64), probe)
+    got = quality.log_probabilities(common.Sorted(files), np.zeros(len(probe), np.int64), probe)
     assert np.allclose(got, [np.log(p(4, k)) for k in probe.tolist()], atol=1e-5)
     assert len(table) == sum(map(len, levels.values()))
     context = next(iter(grams)) >> 12 << 12
@@ -410,8 +409,9 @@ def test_word_model_agrees_with_a_plain_one(spark):
 
 
 def test_word_entries_grow_with_the_input(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id", "text", "0 lang_id")
-    trigrams = lambda df: quality._sums(df, lambda part: (np.zeros(len(g := quality.word_grams(part.column("text"), part.column("lang_id").to_numpy())[0]["tri"]), np.int64), g, [np.ones(len(g))]), ["c"]).count()
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id", "text", "0L lang_id")
+    rows_of = lambda part: (np.zeros(len(g := quality.word_grams(part.column("text"), part.column("lang_id").to_numpy())[0]["tri"]), np.int64), g, [np.ones(len(g))])
+    trigrams = lambda df: keyed.sums(df, rows_of, ("c",), "t").done.agg({"distinct": "sum"}).first()[0]
     half, whole = trigrams(docs.where("doc_id % 2 = 0")), trigrams(docs)
     expected = set()
     for r in docs.collect():
