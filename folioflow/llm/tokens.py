@@ -15,7 +15,7 @@ numpy from its blocks alone.
     (n+1, in ids) | int64 block offsets in bytes | payload
 
 Edge cases: a null text and an empty one hold the end id only; a null doc_id sorts first and
-comes back as null; repeated rows are stored again, in the order of their texts; an empty
+comes back as null; rows of one doc_id (or without one) are stored in the order of their texts' hashes; an empty
 table gives no shard and an empty result; other columns are ignored.
 """
 
@@ -351,46 +351,58 @@ class Shard:
         return self.range(int(self.offsets[k]), int(self.offsets[k + 1]))
 
 
-def write_token_files(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, root: str | None = None) -> DataFrame:
+SHARD_IDS = 32 << 20  # a task begins another shard when it holds so many ids
+
+
+def write_token_files(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, root: str | None = None, shard_ids: int = SHARD_IDS) -> DataFrame:
     """Writes `docs` (doc_id, text) as shards in ascending doc_id order; returns their manifest as a written table.
 
-    One range shuffle of the texts by id, then each task encodes and writes its own range.
-    The manifest has a row for each shard: path, lo, hi, docs, ids.
+    One range shuffle of the texts by id (and hash of the text, so that rows of one id or without one spread too), then
+    each task encodes and writes its own range, in shards of `shard_ids` ids and the rest of a document.
+    The manifest has a row for each shard: root, name, lo, tie, seq (by which they are in order), hi, docs, ids.
     """
     path = tokenizer or default_tokenizer()
     root = root or shared_dir(docs.sparkSession, "tokens")
+    fields = {"root": pa.string(), "name": pa.string(), "lo": pa.int64(), "tie": pa.int64(), "seq": pa.int64(), "hi": pa.int64(), "docs": pa.int64(), "ids": pa.int64()}
 
     def write(batches):
-        doc_ids, ends, rows = [], [np.zeros(1, np.int64)], []
-        total = 0
+        doc_ids, ends, rows, total, seq, tie = [], [np.zeros(1, np.int64)], [], 0, 0, 0
+        bits = max(1, (encoder(path).vocab_size - 1).bit_length())
+
+        def shard():
+            filesystem, inner = pafs.FileSystem.from_uri(root)
+            name, own = f"shard-{uuid.uuid4().hex}", np.concatenate(doc_ids)
+            with filesystem.open_output_stream(f"{inner}/{name}.tmp") as out:
+                write_shard(_Sink(out), own, np.concatenate(ends), np.concatenate(rows), bits)
+            filesystem.move(f"{inner}/{name}.tmp", f"{inner}/{name}.bin")  # a repeated task leaves a file that no manifest names
+            row = {"root": root, "name": f"{name}.bin", "lo": int(own[0]), "tie": tie, "seq": seq, "hi": int(own[-1]), "docs": len(own), "ids": total}
+            return pa.RecordBatch.from_pylist([row], schema=pa.schema(list(fields.items())))
+
         for batch in batches:
             for part in slices(batch):
                 enc = encoder(path)
                 ids, offsets = with_end(*enc.encode(part.column("text")), end_id)
-                kind = np.uint16 if enc.vocab_size <= 1 << 16 else np.uint32
-                rows.append(ids.astype(kind))
+                if not doc_ids:
+                    tie = part.column("tie")[0].as_py()
+                rows.append(ids.astype(np.uint16 if enc.vocab_size <= 1 << 16 else np.uint32))
                 doc_ids.append(part.column("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False))
                 ends.append(offsets[1:] + total)
                 total += len(ids)
-        if not doc_ids:
-            return
-        bits = max(1, (encoder(path).vocab_size - 1).bit_length())
-        filesystem, inner = pafs.FileSystem.from_uri(root)
-        name = f"shard-{uuid.uuid4().hex}"
-        doc_ids = np.concatenate(doc_ids)
-        with filesystem.open_output_stream(f"{inner}/{name}.tmp") as out:
-            write_shard(_Sink(out), doc_ids, np.concatenate(ends), np.concatenate(rows), bits)
-        filesystem.move(f"{inner}/{name}.tmp", f"{inner}/{name}.bin")  # a repeated task leaves a file that no manifest names
-        yield pa.RecordBatch.from_pydict({"root": [root], "name": [f"{name}.bin"], "lo": [int(doc_ids[0])], "hi": [int(doc_ids[-1])], "docs": [len(doc_ids)], "ids": [total]}, schema=pa.schema([("root", pa.string()), ("name", pa.string()), ("lo", pa.int64()), ("hi", pa.int64()), ("docs", pa.int64()), ("ids", pa.int64())]))
+                if total >= shard_ids:
+                    yield shard()
+                    doc_ids, ends, rows, total, seq = [], [np.zeros(1, np.int64)], [], 0, seq + 1
+        if doc_ids:
+            yield shard()
 
-    ranges = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    return written(ranges.mapInArrow(write, "root string, name string, lo long, hi long, docs long, ids long"), "manifest")
+    order = [F.col("doc_id").asc_nulls_first(), F.col("tie")]
+    ranges = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie")).repartitionByRange(*order).sortWithinPartitions(*order)
+    return written(ranges.mapInArrow(write, ", ".join(f"{k} {'string' if t == pa.string() else 'long'}" for k, t in fields.items())), "manifest")
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, read from the shards' bytes."""
-    # one row a shard; equal ids never span shards, since range partitioning keeps equal keys together
-    placed = manifest.withColumn("start", F.coalesce(F.sum("ids").over(Window.orderBy("lo").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long"))
+    # one row a shard; the shards of a task follow one another, and the tasks' ranges of (id, hash) are disjoint
+    placed = manifest.withColumn("start", F.coalesce(F.sum("ids").over(Window.orderBy("lo", "tie", "seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long"))
 
     def read(batches):
         for batch in batches:
@@ -409,7 +421,8 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                 doc_ids = np.asarray(shard.doc_ids)
                 yield pa.RecordBatch.from_arrays([pa.array(doc_ids, mask=doc_ids == NO_ID), pa.array(row["start"] + offsets[:-1]), pa.array(np.diff(offsets)), pa.array(crc)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return placed.select("root", "name", "start").repartition(F.col("name")).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # the manifest's few bytes would otherwise be one task's
+    return placed.select("root", "name", "start").repartition(max(1, manifest.count()), F.col("name")).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op1_token_files(spark, sf_dir):
