@@ -3,11 +3,11 @@
 Every language has a codeword of +1 and -1; for each bit a binary classifier tells from the
 n-grams on which side of the split a text is. The classifiers are naive Bayes over hashed
 byte trigrams with add-`smooth` counts pooled over the bit's languages. Decoding weighs
-each bit's logistic loss by how well that bit did on its training texts and picks the
-codeword of least loss; the softmax of the losses is the score, and a text whose two best
+each bit's logistic loss by the bit's trust, the least margin it has on the learned n-gram profiles of the
+languages themselves, and picks the codeword of least loss; the softmax of the losses is the score, and a text whose two best
 codewords are within `ambiguous` of one another is flagged.
 
-Training takes a bounded sample: about `most` labelled rows of each language (by hash of the id), all of a rare one. Everything
+Training takes a bounded sample: about `most` labelled rows of each language (by hash of the id, or of the text without one), all of a rare one. Everything
 else covers whole texts of all rows. Prediction sees the text alone.
 
 Edge cases: a null text and one without letters give `und` and score 0; with no labelled text at
@@ -121,7 +121,8 @@ def train(docs: DataFrame, most: int = MOST, smooth: float = SMOOTH, bits: int =
     """
     labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL")
     shares = labelled.groupBy("lang").agg(F.count("*").alias("__rows")).select(F.col("lang").alias("__lang"), F.least(F.lit(1.0), most / F.col("__rows")).alias("__share"))
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
+    hashed = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
+    place = F.shiftrightunsigned(hashed, 11) / float(1 << 53)  # fine enough for any number of rows
     sample = labelled.join(F.broadcast(shares), F.col("lang") == F.col("__lang")).where(place < F.col("__share"))  # a row for each language
 
     def count(batches):
