@@ -8,9 +8,11 @@ One shuffle pairs turns with participants by conversation; the rest is a running
 aggregation by (conversation, participant). No pair of turns is formed. A rendered dialogue is one value of
 one row, so it must fit in memory.
 
+A mark that a role or a text holds (`<|`) is written `< |`, so that no content opens or closes a turn.
+
 Edge cases: a null text counts as empty; a null role is the participant `unknown`; turns go by turn
-(null first), then role and text, so ties and repeated rows have a defined place; null conversation ids are one
-conversation; a conversation of context roles only has no row; an empty table gives an empty result; other
+(null first), then role and text, so ties and repeated rows have a defined place; a turn without conversation id
+belongs to no other, it is a conversation of its own; a conversation of context roles only has no row; an empty table gives an empty result; other
 columns are ignored.
 """
 
@@ -27,9 +29,11 @@ CLOSE = "<|end|>\n"
 
 def rotate(turns: DataFrame, context: tuple[str, ...] = CONTEXT) -> DataFrame:
     """(conv_id, speaker, n_turns, n_learned, text, mask) for every participant."""
-    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    plain = lambda name, absent: F.replace(F.coalesce(name, F.lit(absent)), F.lit("<|"), F.lit("< |")).alias(name)
+    every = turns.select("conv_id", "turn", plain("role", "unknown"), plain("text", ""))
+    rows = every.where("conv_id IS NOT NULL")
     speakers = rows.where(~F.col("role").isin(*context)).select(F.col("conv_id").alias("conv"), F.col("role").alias("speaker")).distinct()
-    both = rows.join(speakers, rows["conv_id"].eqNullSafe(speakers["conv"])).drop("conv")
+    both = rows.join(speakers, rows["conv_id"] == speakers["conv"]).drop("conv")
     own = F.col("role") == F.col("speaker")
     opening = F.when(own, F.lit("<|assistant|>\n")).when(F.col("role").isin(*context), F.concat(F.lit("<|"), "role", F.lit("|>\n"))).otherwise(F.concat(F.lit("<|user name="), "role", F.lit("|>\n")))
     pieces = both.withColumn("own", own).withColumn("opening", opening).withColumn("piece", F.concat("opening", "text", F.lit(CLOSE)))
@@ -38,6 +42,11 @@ def rotate(turns: DataFrame, context: tuple[str, ...] = CONTEXT) -> DataFrame:
     start = F.col("before") + F.length("opening")
     span = F.when(F.col("own"), F.concat(start.cast("string"), F.lit(":"), (start + F.length("text")).cast("string")))
     told = placed.withColumn("span", span).groupBy("conv_id", "speaker").agg(F.sort_array(F.collect_list(F.struct("at", "piece", "span"))).alias("t"), F.count("*").alias("n_turns"), F.count_if("own").alias("n_learned"))
+    head = "<|assistant|>\n"
+    mask = F.concat(F.lit(f"{len(head)}:"), (F.length("text") + len(head)).cast("string"))
+    lone = every.where(F.col("conv_id").isNull() & ~F.col("role").isin(*context)).select(
+        "conv_id", F.col("role").alias("speaker"), F.lit(1).cast("long").alias("n_turns"), F.lit(1).cast("long").alias("n_learned"), F.concat(F.lit(head), "text", F.lit(CLOSE)).alias("text"), mask.alias("mask")
+    )
     return told.select(
         "conv_id",
         "speaker",
@@ -45,7 +54,7 @@ def rotate(turns: DataFrame, context: tuple[str, ...] = CONTEXT) -> DataFrame:
         "n_learned",
         F.array_join(F.col("t.piece"), "").alias("text"),
         F.array_join(F.filter(F.col("t.span"), lambda s: s.isNotNull()), ",").alias("mask"),
-    )
+    ).unionByName(lone)
 
 
 def op8_perspective_rotation(spark, sf_dir):
@@ -54,14 +63,14 @@ def op8_perspective_rotation(spark, sf_dir):
 
 SQL = r"""
 WITH t AS (
-  SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations
+  SELECT conv_id, turn, replace(coalesce(role, 'unknown'), '<|', '< |') AS role, replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations
 ), s AS (
   SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role <> 'system'
 ), p AS (
   SELECT t.conv_id, s.speaker, t.turn, t.role, t.text, t.role = s.speaker AS own,
     CASE WHEN t.role = s.speaker THEN '<|assistant|>' || chr(10) WHEN t.role = 'system' THEN '<|system|>' || chr(10)
       ELSE '<|user name=' || t.role || '|>' || chr(10) END AS opening
-  FROM t JOIN s ON t.conv_id IS NOT DISTINCT FROM s.conv_id
+  FROM t JOIN s ON t.conv_id = s.conv_id
 ), q AS (
   SELECT *, opening || text || '<|end|>' || chr(10) AS piece, row_number() OVER w AS pos,
     (sum(length(opening || text || '<|end|>' || chr(10))) OVER (PARTITION BY conv_id, speaker ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING))
@@ -70,7 +79,9 @@ WITH t AS (
 )
 SELECT conv_id, speaker, count(*) AS n_turns, count(*) FILTER (own) AS n_learned, string_agg(piece, '' ORDER BY pos) AS text,
   coalesce(string_agg(CASE WHEN own THEN CAST(before + length(opening) AS BIGINT) || ':' || CAST(before + length(opening) + length(text) AS BIGINT) END, ',' ORDER BY pos), '') AS mask
-FROM q GROUP BY conv_id, speaker"""
+FROM q GROUP BY conv_id, speaker
+UNION ALL
+SELECT conv_id, role, 1, 1, '<|assistant|>' || chr(10) || text || '<|end|>' || chr(10), '14:' || (14 + length(text)) FROM t WHERE conv_id IS NULL AND role <> 'system'"""
 
 QUERIES = {"op8_perspective_rotation": op8_perspective_rotation}
 ORACLES = {"op8_perspective_rotation": SQL}
