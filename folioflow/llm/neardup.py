@@ -46,8 +46,9 @@ def prepared(vectors: DataFrame) -> DataFrame:
             for k, there in enumerate(column.is_valid().to_pylist()):
                 a, b = int(offsets[k]), int(offsets[k + 1])
                 v = flat[a:b]
-                fine = there and b > a and good[a:b].all() and np.isfinite(v).all() and 0 < float(v @ v) < np.inf
-                out.append(v.tobytes() if fine else None)
+                fine = there and b > a and good[a:b].all() and np.isfinite(v).all() and v.any()
+                # by a power of two, which changes no digit, so that no square over- or underflows
+                out.append(np.ldexp(v, -int(np.frexp(np.abs(v).max())[1])).tobytes() if fine else None)
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("label"), pa.array(out, pa.binary())], names=["vec_id", "label", "raw"])
 
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
