@@ -13,6 +13,7 @@ import os
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 _own: list[str] = []
+_open: list[set[str]] = []
 
 
 def _cleanup() -> None:
@@ -47,11 +49,27 @@ def shared_dir(spark: SparkSession, what: str) -> str:
         path = "file://" + os.path.abspath(path)
     filesystem, inner = pafs.FileSystem.from_uri(path)
     filesystem.create_dir(inner, recursive=True)
+    if _open:
+        _open[-1].add(path)
     if isinstance(filesystem, pafs.LocalFileSystem):
         _own.append(inner)
     return path
 
 
+@contextmanager
+def scratch():
+    """Within it, the folders of shared_dir are of passing use: they go when it ends, but for those taken off the set it gives."""
+    folders: set[str] = set()
+    _open.append(folders)
+    try:
+        yield folders
+    finally:
+        _open.pop()
+        for path in folders:
+            filesystem, inner = pafs.FileSystem.from_uri(path)
+            filesystem.delete_dir(inner)
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """`df` written to the shared folder and read again: cuts the lineage, computes it once."""
     spark = df.sparkSession
@@ -166,7 +184,7 @@ class _Sink:
 def _array(root: str, name: str) -> np.ndarray:
     filesystem, inner = pafs.FileSystem.from_uri(root)
     if isinstance(filesystem, pafs.LocalFileSystem):
-        return np.load(f"{inner}/{name}", mmap_mode="r")
+        return np.asarray(np.load(f"{inner}/{name}", mmap_mode="r"))
     with filesystem.open_input_file(f"{inner}/{name}") as source:
         import io
 

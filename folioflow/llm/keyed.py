@@ -25,7 +25,7 @@ from folioflow.llm.common import Sorted, _array, _Sink, bucket_bits, shared_dir,
 from folioflow.llm.words import sorting
 
 BITS = 48
-BLOCK = 1_500_000  # distinct keys that a task holds before it sends them
+BLOCK = 2_250_000  # distinct keys that a task holds before it sends them
 
 
 def freed(spark: SparkSession) -> None:
@@ -43,16 +43,22 @@ def _unplanes(data: bytes, kind, n: int) -> np.ndarray:
     return np.frombuffer(data, np.uint8).reshape(width, n).T.copy().view(kind).ravel()
 
 
+def _short(values: np.ndarray, cut: int) -> np.ndarray:
+    """Float32 values without their last `cut` bits, rounded; whole numbers stay as they are."""
+    bits = values.astype(np.float32).view(np.uint32)
+    return np.where(values == np.rint(values), bits, (bits + np.uint32(1 << (cut - 1))) & ~np.uint32((1 << cut) - 1)).view(np.float32)
+
+
 _CODEC = pa.Codec("zstd", 1)
 
 
-def encoded(keys: np.ndarray, values: list[np.ndarray]) -> tuple[bytes, bytes, bytes]:
+def encoded(keys: np.ndarray, values: list[np.ndarray], cuts: list[int]) -> tuple[bytes, bytes, bytes]:
     """Ascending keys (uint64, 48 bits) and their float32 values: what doesn't compress, what does a little, and the rest."""
     high = keys >> np.uint64(16)
     step = np.diff(high, prepend=high[:1]).astype(np.uint32)
     step[:1] = high[:1]
     planes = step.view(np.uint8).reshape(-1, 4).T
-    rest = planes[1:].tobytes() + b"".join(_planes(v.astype(np.float32)) for v in values)
+    rest = planes[1:].tobytes() + b"".join(_planes(_short(v, cut)) for v, cut in zip(values, cuts))
     return keys.astype(np.uint16).tobytes() + planes[0].tobytes(), _CODEC.compress(rest[: len(keys)], asbytes=True), _CODEC.compress(rest[len(keys) :], asbytes=True)
 
 
@@ -72,12 +78,24 @@ def _merged(lang: np.ndarray, keys: np.ndarray, values: list[np.ndarray]):
     return lang[first], keys[first], [np.add.reduceat(v[order], first, dtype=np.float64).astype(np.float32) if len(first) else v for v in values]
 
 
-def _save(root: str, bits: int, keys: np.ndarray, values: dict[str, np.ndarray]) -> str:
-    """Writes the arrays of one bucket: remainders of 32 bits, where each range of the bits before them begins, values."""
-    part, low = uuid.uuid4().hex, min(32, BITS - bits)
-    ranges = np.arange((1 << (BITS - bits - low)) + 1, dtype=np.uint64)
-    inside = keys & np.uint64((1 << (BITS - bits)) - 1)
-    arrays = {"rem": (inside & np.uint64((1 << low) - 1)).astype(np.uint32), "start": np.searchsorted(inside, ranges << np.uint64(low)).astype(np.int64)} | values
+def _save(root: str, bits: int, keys: np.ndarray, values: dict[str, np.ndarray], whole: tuple[str, ...], shares: dict[str, str]) -> str:
+    """Writes the arrays of one bucket.
+
+    rem: the keys' lower 32 bits. start: where each range of keys begins, about 16 keys a range. Whole numbers take a
+    byte; those from 255 on stand in `more` with their places. A share is stored as its part of the other value, in 16 bits.
+    """
+    part, rest = uuid.uuid4().hex, BITS - bits
+    low = min(32, rest, max(0, rest - (len(keys) >> 4).bit_length()))
+    inside = keys & np.uint64((1 << rest) - 1)
+    ranges = np.arange((1 << (rest - low)) + 1, dtype=np.uint64)
+    arrays = {"rem": inside.astype(np.uint32), "start": np.searchsorted(inside, ranges << np.uint64(low)).astype(np.uint32 if len(keys) < 1 << 32 else np.int64)}
+    for name, x in values.items():
+        if name in whole:
+            big = np.flatnonzero(x >= 255)
+            arrays |= {name: np.minimum(x, 255).astype(np.uint8), f"{name}.more": np.stack([big.astype(np.int64), x[big].astype(np.int64)])}
+        else:
+            other = values[shares[name]]
+            arrays[name] = np.rint(65535 * np.clip(x / np.maximum(other, 1), 0, 1)).astype(np.uint16)
     filesystem, inner = pafs.FileSystem.from_uri(root)
     for name, array in arrays.items():
         with filesystem.open_output_stream(f"{inner}/{part}.{name}.tmp") as out:
@@ -89,8 +107,8 @@ def _save(root: str, bits: int, keys: np.ndarray, values: dict[str, np.ndarray])
 class Sums:
     """What `sums` found: files by bucket, and the counts of counts of every language (`done`)."""
 
-    def __init__(self, done: DataFrame, root: str, bits: int, names: tuple[str, ...]):
-        self.root, self.bits, self.done = root, bits, done
+    def __init__(self, done: DataFrame, root: str, bits: int, whole: tuple[str, ...], shares: dict[str, str]):
+        self.root, self.bits, self.done, self.whole, self.shares = root, bits, done, whole, shares
         self.parts = {r["bucket"]: r["part"] for r in done.select("bucket", "part").distinct().collect()}  # a row for each bucket
         self.numbers = write_sorted(self._discounts(), "discounts", ("d1", "d2", "d3", "total", "mass", "distinct"))
 
@@ -119,25 +137,35 @@ class Sums:
         ordered = keys.view(np.uint64)[order] >> np.uint64(64 - BITS)
         out = [np.full(len(keys), float(absent)) for _ in names]
         rest = BITS - self.bits
-        low = min(32, rest)
         edges = np.concatenate([[0], np.searchsorted(ordered, np.arange(1, 1 << self.bits, dtype=np.uint64) << np.uint64(rest)), [len(keys)]])
         for b in np.flatnonzero(np.diff(edges)).tolist():
             if b not in self.parts:
                 continue
+            array = lambda name, b=b: _array(self.root, f"{self.parts[b]}.{name}.npy")
             own = ordered[edges[b] : edges[b + 1]] & np.uint64((1 << rest) - 1)
-            rem, start = (_array(self.root, f"{self.parts[b]}.{x}.npy") for x in ("rem", "start"))
+            rem, start = array("rem"), array("start")
             if not len(rem):
                 continue
-            sub, want = (own >> np.uint64(low)).astype(np.int64), (own & np.uint64((1 << low) - 1)).astype(np.uint32)
-            first, last = start[sub], start[sub + 1]
-            end = last.copy()
-            while (first < last).any():  # a binary search of all keys at once
+            low = rest - (len(start) - 1).bit_length() + 1
+            sub, want = (own >> np.uint64(low)).astype(np.int64), own.astype(np.uint32)
+            first, end = start[sub].astype(np.int64), start[sub + 1].astype(np.int64)
+            last, top = end, len(rem) - 1
+            for _ in range(int((end - first).max()).bit_length()):  # a binary search of all keys at once
                 middle = (first + last) >> 1
-                less = (rem[np.minimum(middle, len(rem) - 1)] < want) & (first < last)
-                first, last = np.where(less, middle + 1, first), np.where(less, last, np.maximum(middle, first))
-            hit = (first < end) & (rem[np.minimum(first, len(rem) - 1)] == want)
+                less = (rem[np.minimum(middle, top)] < want) & (first < last)
+                first, last = np.where(less, middle + 1, first), np.where(less, last, middle)
+            found = np.flatnonzero((first < end) & (rem[np.minimum(first, top)] == want))
+            at, to = first[found], order[edges[b] : edges[b + 1]][found]
+
+            def numbers(name):
+                x = array(name)[at].astype(np.float64)
+                if len(large := np.flatnonzero(x == 255)):
+                    place, value = array(f"{name}.more")
+                    x[large] = value[np.searchsorted(place, at[large])]
+                return x
+
             for o, name in zip(out, names):
-                o[order[edges[b] : edges[b + 1]][hit]] = _array(self.root, f"{self.parts[b]}.{name}.npy")[first[hit]]
+                o[to] = numbers(name) if name in self.whole else array(name)[at] / 65535 * numbers(self.shares[name])
         return out
 
 
@@ -145,13 +173,17 @@ _ROW = "bucket int, lang_id long, n int, raw binary, second binary, more binary"
 _DONE = "part string, bucket int, lang_id long, n1 long, n2 long, n3 long, n4 long, total double, distinct long"
 
 
-def sums(docs: DataFrame, rows_of, names: tuple[str, ...], what: str, once: tuple[str, ...] = (), whole: tuple[str, ...] = ()) -> Sums:
+def sums(docs: DataFrame, rows_of, names: tuple[str, ...], what: str, once: tuple[str, ...] = (), shares: dict[str, str] | None = None) -> Sums:
     """Sums by (language, key) of what `rows_of` gives for a slice of `docs`: languages, 64-bit keys, values.
 
-    The first of `names` is the count of the counts of counts; those of `whole` are rounded to whole numbers.
+    The first of `names` is the count of the counts of counts. Those of `shares` are between 0 and the value they name;
+    all others are rounded to whole numbers.
     """
+    shares = shares or {}
+    whole = tuple(x for x in names if x not in shares)
     spark = docs.sparkSession
     bits, root = bucket_bits(spark), shared_dir(spark, what)
+    cuts = [8 if x in shares else 12 for x in names]  # what is rounded to whole numbers in the end needs fewer bits
 
     def send(batches):
         held: list = []
@@ -170,7 +202,7 @@ def sums(docs: DataFrame, rows_of, names: tuple[str, ...], what: str, once: tupl
                 rows = []
                 for b in np.flatnonzero(np.diff(edges)).tolist():
                     at = own[edges[b] : edges[b + 1]]
-                    rows.append((b, name, len(at), *encoded(keys[at], [v[at] for v in values])))
+                    rows.append((b, name, len(at), *encoded(keys[at], [v[at] for v in values], cuts)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "lang_id", "n", "raw", "second", "more"])
 
         for batch in batches:
@@ -215,12 +247,12 @@ def sums(docs: DataFrame, rows_of, names: tuple[str, ...], what: str, once: tupl
         keys = np.concatenate([p[0] for p in kept])
         order = np.argsort(keys, kind="stable")
         keys, values = keys[order], [np.concatenate(x)[order] for x in zip(*(p[1] for p in kept))]
-        part = _save(root, bits, keys, {name: x.astype(np.min_scalar_type(int(x.max(initial=0)))) if name in whole else x.astype(np.float32) for name, x in zip(names, values)})
+        part = _save(root, bits, keys, dict(zip(names, values)), whole, shares)
         columns = list(zip(*[(part, key[0].as_py(), *r) for r in rows]))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), *[pa.int64()] * 5, pa.float64(), pa.int64()))], names=[x.split()[0] for x in _DONE.split(", ")])
         tidy()
 
     blocks = docs.mapInArrow(send, _ROW)
-    found = Sums(written(blocks.groupBy("bucket").applyInArrow(take, _DONE), f"{what}-done"), root, bits, names)
+    found = Sums(written(blocks.groupBy("bucket").applyInArrow(take, _DONE), f"{what}-done"), root, bits, whole, shares)
     freed(spark)  # after further jobs: the driver holds on to its last one
     return found

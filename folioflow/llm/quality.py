@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import Sorted, read_table, slices, text_buffers, write_sorted, written
+from folioflow.llm.common import Sorted, read_table, scratch, slices, text_buffers, write_sorted, written
 from folioflow.llm.keyed import Sums, freed, sums
 from folioflow.llm.words import groups, lines, mix, shingles, spans, take_ranges
 
@@ -294,7 +294,7 @@ def word_tables(docs: DataFrame) -> WordModel:
         g, lang, row = grams(part)
         return lang[row], g["tri"], [np.ones(len(row))]
 
-    threes = sums(docs, tri, ("c",), "trigrams", once=("c",), whole=("c",))
+    threes = sums(docs, tri, ("c",), "trigrams", once=("c",))
 
     def parts(table: Sums, lang, row, c, t):
         """Of each n-gram's occurrence: its part of 1 and of its discount."""
@@ -308,7 +308,7 @@ def word_tables(docs: DataFrame) -> WordModel:
         c[g["at"] + 1], m[g["at"]] = parts(threes, lang, row, c3, c3)
         return lang[g["row"]], g["pair"], [c, np.ones(n), m]  # the last pair of a text begins no trigram but has occurred
 
-    twos = sums(docs, pair, ("c", "t", "m"), "pairs", once=("c", "t"), whole=("c", "t"))
+    twos = sums(docs, pair, ("c", "t", "m"), "pairs", once=("c", "t"), shares={"m": "t"})
 
     def word(part):
         g, lang, row = grams(part)
@@ -319,7 +319,7 @@ def word_tables(docs: DataFrame) -> WordModel:
         t[g["at"]] = c2 / t2
         return lang[g["row"]], g["word"], [c, t, m]
 
-    return WordModel(threes, twos, sums(docs, word, ("c", "t", "m"), "words", whole=("c", "t")))
+    return WordModel(threes, twos, sums(docs, word, ("c", "t", "m"), "words", shares={"m": "t"}))
 
 
 def word_log_probabilities(model: WordModel, column: pa.Array, langs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -348,7 +348,7 @@ def word_log_probabilities(model: WordModel, column: pa.Array, langs: np.ndarray
     c2[lone] = 1
     t3, m3 = t2 - own2, m2 - np.bincount(from3[first3], weights=d3_all - d3, minlength=len(pair_at))
 
-    some2 = np.unique(in2)
+    some2 = np.flatnonzero(np.bincount(in2, minlength=len(pair_at)))
     place2 = np.full(len(pair_at), -1)
     place2[some2] = np.arange(len(some2))
     c2, d2, d2_all = left(c2[some2], np.bincount(place2[in2[first3]], weights=gone3, minlength=len(some2)), pairs.discounts(langs), g["row"][pair_at[some2]])
@@ -360,7 +360,7 @@ def word_log_probabilities(model: WordModel, column: pa.Array, langs: np.ndarray
     t2 = t1 - np.bincount(from2[first3], weights=gone3, minlength=len(word_at))
     m2 = m1 - np.bincount(mids, weights=d2_all - d2, minlength=len(word_at))
 
-    some1 = np.unique(in1)
+    some1 = np.flatnonzero(np.bincount(in1, minlength=len(word_at)))
     place1 = np.full(len(word_at), -1)
     place1[some1] = np.arange(len(some1))
     rows1 = g["row"][word_at[some1]]
@@ -421,8 +421,9 @@ def quality_rules(docs: DataFrame, order: int = ORDER, below: float = LOWER, abo
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, perplexity, lower, upper, word_perplexity, word_upper, kept)."""
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.select("doc_id", "text", F.xxhash64("lang").alias("lang_id"))
-    entries, unseen = kneser_ney(written(count_ngrams(rows, order), "ngrams"), order)
-    files = model_files(entries, unseen)
+    with scratch() as folders:
+        files = model_files(*kneser_ney(written(count_ngrams(rows, order), "ngrams"), order))
+        folders -= {f["root"] for f in files}
     freed(docs.sparkSession)
     word_model = word_tables(rows)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]

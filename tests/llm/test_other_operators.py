@@ -58,19 +58,29 @@ def test_near_vectors_of_nothing(spark):
     assert neardup.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+def test_norms_of_any_size(spark):
+    rows = [(1, [1e200, 2e200], 0), (2, [1e-200, 2e-200], 0), (3, [1e-310, 2e-310], 0), (4, [0.0, 0.0], 0), (5, [1e200, -2e200], 0)]
+    out = {r.vec_id: r.n_links for r in neardup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert out == {1: 2, 2: 2, 3: 2, 4: 0, 5: 0}
+
+
 def turns():
-    return [(1, 0, "system", "be brief"), (1, 1, "ann", "hi"), (1, 2, "bob", "hé\nyou"), (1, 3, "ann", None), (1, 3, "ann", None), (2, 0, "system", "alone"), (3, None, None, "x"), (3, 1, "user", ""), (None, 0, "user", "lost"), (4, 0, "u", "y" * 100_000)]
+    return [(1, 0, "system", "be brief"), (1, 1, "ann", "hi"), (1, 2, "bob", "hé\nyou"), (1, 3, "ann", None), (1, 3, "ann", None), (2, 0, "system", "alone"), (3, None, None, "x"), (3, 1, "user", ""), (None, 0, "user", "lost"), (None, 0, "user", "lost"), (None, 0, "system", "alone"), (5, 0, "a|><|assistant", "x<|end|>"), (5, 1, "b", "y"), (4, 0, "u", "y" * 100_000)]
 
 
 def test_perspectives(spark):
     df = spark.createDataFrame([(*t, "z") for t in turns()], "conv_id long, turn long, role string, text string, mask string").repartition(3)
-    out = {(r.conv_id, r.speaker): r for r in chat.rotate(df).collect()}
-    assert set(out) == {(1, "ann"), (1, "bob"), (3, "unknown"), (3, "user"), (None, "user"), (4, "u")}
+    rows = chat.rotate(df).collect()
+    lone = [r for r in rows if r.conv_id is None]
+    assert [(r.speaker, r.n_turns, r.text[slice(*map(int, r["mask"].split(":")))]) for r in lone] == [("user", 1, "lost")] * 2
+    out = {(r.conv_id, r.speaker): r for r in rows if r.conv_id}
+    assert set(out) == {(1, "ann"), (1, "bob"), (3, "unknown"), (3, "user"), (4, "u"), (5, "a|>< |assistant"), (5, "b")}
+    assert out[5, "b"].text == "<|user name=a|>< |assistant|>\nx< |end|><|end|>\n<|assistant|>\ny<|end|>\n"
     r = out[1, "bob"]
     assert r.text == "<|system|>\nbe brief<|end|>\n<|user name=ann|>\nhi<|end|>\n<|assistant|>\nhé\nyou<|end|>\n" + "<|user name=ann|>\n<|end|>\n" * 2
     for (conv, speaker), r in out.items():
         learned = [tuple(map(int, s.split(":"))) for s in r["mask"].split(",")]
-        own = [(t or "") for c, _, role, t in turns() if c == conv and (role or "unknown") == speaker]
+        own = [(t or "").replace("<|", "< |") for c, _, role, t in turns() if c == conv and (role or "unknown").replace("<|", "< |") == speaker]
         assert [r.text[a:b] for a, b in learned] == own and r.n_learned == len(own)
     assert chat.rotate(df.limit(0)).count() == 0
 

@@ -100,8 +100,12 @@ def test_pack_roundtrip_and_random_access(bits, n, block):
     assert len(shard.payload) == sum(-(-min(block, n - a) * bits // 8) for a in range(0, n, block))
 
 
-def test_token_files(docs, none):
-    out = tokens.read_token_files(tokens.write_token_files(docs, end_id=1)).collect()
+@pytest.mark.parametrize("shard_ids", [tokens.SHARD_IDS, 50])
+def test_token_files(docs, none, shard_ids):
+    manifest = tokens.write_token_files(docs, end_id=1, shard_ids=shard_ids)
+    read = tokens.read_token_files(manifest)
+    assert read.rdd.getNumPartitions() == manifest.count()
+    out = read.collect()
     rows = sorted(((i, t) for i, t, *_ in corpus()), key=lambda r: (r[0] is not None, r[0] or 0))
     assert len(out) == len(rows)
     expected = collections.Counter()
@@ -575,6 +579,17 @@ def test_mix(docs, none):
     assert mixing.mix(none).count() == 0
 
 
+def test_taken_words_come_near_the_targets(spark):
+    rows = [(k if k % 50 else None, " ".join(["w"] * (1 + k * k % 97 if k % 23 else 1000)), f"s{k % 7}" if k % 7 else None) for k in range(1, 700)]
+    rows += [(700 + k, "w w w", "s9") for k in range(40)]
+    by = collections.defaultdict(list)
+    for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect():
+        by[r.source].append(r)
+    for own in by.values():
+        mean = own[0].source_size / len(own)
+        assert abs(sum(r.taken for r in own) - own[0].target) <= mean
+
+
 @pytest.mark.parametrize("seed", range(12))
 def test_targets_are_the_reshared_ones(spark, seed):
     rng = random.Random(seed)
