@@ -263,3 +263,21 @@ def similarity(a: pa.Array, b: pa.Array) -> pa.Array:
     """Ratcliff and Obershelp's ratio of two texts (the first 10,000 characters of each, as defined)."""
     pairs = zip(a.to_pylist(), b.to_pylist())
     return pa.array([None if x is None or y is None else difflib.SequenceMatcher(None, x[:10000], y[:10000]).ratio() for x, y in pairs], pa.float64())
+
+
+HEADER = {"category": "Category", "pages": "Pages", "time": "Processing Time", "chars": "Characters"}
+
+
+def header_fields(text: str | Column) -> dict[str, Column]:
+    """Values of the `**Name**: value` lines among the first ten; null where there is none."""
+    head = F.array_join(F.slice(F.split(_c(text), "\n"), 1, 10), "\n")
+    found = {name: F.regexp_extract_all(head, F.lit(rf"(?m)^\*\*{label}\*\*:[ \t]*(.*?)[ \t]*$"), F.lit(1)) for name, label in HEADER.items()}
+    values = {name: F.get(v, F.size(v) - 1) for name, v in found.items()}  # the last one counts
+    return values | {"chars": F.replace(values["chars"], F.lit(","), F.lit(""))}
+
+
+def header_body(text: str | Column) -> Column:
+    """What follows the first rule, trimmed; the whole text where there is no rule."""
+    text = _c(text)
+    at = F.locate("---\n\n", text)
+    return F.when(at > 0, F.regexp_replace(F.substr(text, at + 5), r"^\s+|\s+$", "")).otherwise(text)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from folioflow.functions import geometry as G
 from folioflow.functions.text import needs_space
-from folioflow.operators.fold import merge_groups
+from folioflow.operators import connect
+from folioflow.operators.fold import fold, merge_groups
 
 KEYS = ("doc_id", "page")
 
@@ -34,33 +35,70 @@ def islands(df: DataFrame, keys, gap: Column, most: float, name: str) -> DataFra
 
 
 def words(chars: DataFrame, keys=KEYS, eps: float = 8.0, line_share: float = 0.5) -> DataFrame:
-    """Characters to words: on one line, centres of neighbours at most `eps` apart. One row a word."""
-    lined = lines_of(chars, keys, tolerance=0.0)
-    w = Window.partitionBy(*keys, "line").orderBy("x", "sequence")
-    center = F.col("x") + F.col("width") / 2
-    placed = islands(lined, [*keys, "line"], center - F.lag(center).over(w), eps, "word")
-    return aggregate_blocks(placed.withColumnRenamed("char", "text"), [*keys, "line", "word"], "")
+    """Characters to words: what is connected by centres at most `eps` apart on one line. One row a word."""
+    placed = connect.char_clusters(chars, keys, eps, line_share)
+    return aggregate_blocks(placed.withColumnRenamed("char", "text"), [*keys, "word"], "")
 
 
 def adaptive_words(chars: DataFrame, keys=KEYS, share: float = 0.8) -> DataFrame:
-    """As words, with `share` of the page's median character width between the edges of neighbours as the limit."""
+    """As words, with `share` of the page's median character width as the reach."""
     from folioflow.operators.layout import weighted_upper_median
 
     keys = list(keys)
     medians = weighted_upper_median(chars.withColumn("__n", F.lit(1)), keys, "width", "__n", "__median")
-    lined = lines_of(chars.join(medians, keys), keys, tolerance=0.0)
-    w = Window.partitionBy(*keys, "line").orderBy("x", "sequence")
-    gap = (F.col("x") - F.lag(F.col("x") + F.col("width")).over(w)) / F.col("__median")
-    placed = islands(lined, [*keys, "line"], gap, share, "word").drop("__median")
-    return aggregate_blocks(placed.withColumnRenamed("char", "text"), [*keys, "line", "word"], "")
+    wide = chars.join(medians, keys).withColumn("__eps", F.greatest(share * F.col("__median"), F.col("__median") + 1e-6))
+    placed = connect.char_clusters(wide, keys, eps_column="__eps").drop("__median", "__eps")
+    return aggregate_blocks(placed.withColumnRenamed("char", "text"), [*keys, "word"], "")
 
 
 def text_lines(words_: DataFrame, keys=KEYS, tolerance: float = 5.0, most: float = 50.0) -> DataFrame:
-    """Words to lines: islands of y, then of x where edges are less than `most` apart. One row a line."""
-    lined = lines_of(words_, keys, tolerance)
-    w = Window.partitionBy(*keys, "line").orderBy("x", "sequence")
-    gap = F.col("x") - F.lag(F.col("x") + F.col("width")).over(w)
-    return aggregate_blocks(islands(lined, [*keys, "line"], gap, most, "part"), [*keys, "line", "part"], " ")
+    """Words to lines: what is connected by heights at most `tolerance` and nearest edges less than `most` apart. One row a line."""
+    return aggregate_blocks(connect.word_clusters(words_, keys, tolerance, most), [*keys, "line"], " ")
+
+
+def char_blocks(chars: DataFrame, keys=KEYS) -> DataFrame:
+    """Characters of one rounded height to blocks: a gap wider than 2 and a quarter of the block's mean width parts them. One row a block."""
+
+    def step(state, y, x, width):
+        joins = state is not None and state[0] == y and x - state[1] <= max(2.0, 0.25 * state[2] / state[3])
+        number = 0 if state is None else state[4] + (not joins)
+        return (y, x + width, (state[2] if joins else 0.0) + width, (state[3] if joins else 0) + 1, number), number
+
+    rows = chars.withColumn("__y", F.round("y").cast("long")).withColumn("__x", F.col("x").cast("double")).withColumn("__w", F.col("width").cast("double"))
+    placed = fold(rows, list(keys), [F.desc("__y"), F.round("x"), "__x", "sequence"], ["__y", "__x", "__w"], step, "block bigint").drop("__y", "__x", "__w")
+    return aggregate_blocks(placed.withColumnRenamed("char", "text"), [*keys, "block"], "")
+
+
+def merge_fragments(spans: DataFrame, keys=KEYS, share: float = 0.18) -> DataFrame:
+    """Neighbours in Markdown order (`rank`) as one block: of one line (less than 2 apart), font, weight and size (less than half a point apart),
+    with a gap of less than `share` of the size, neither of them blank. One row a block."""
+
+    def step(state, y, x, width, font, size, bold, blank):
+        joins = state is not None and abs(state[0] - y) < 2.0 and state[2] == font and abs(state[3] - size) < 0.5 and state[4] == bold and not state[5] and not blank and x - state[1] < share * state[3]
+        number = 0 if state is None else state[6] + (not joins)
+        return ((state[0], x + width, *state[2:6], number) if joins else (y, x + width, font, size, bold, blank, number)), number
+
+    rows = spans.select(*spans.columns, *[F.col(c).cast("double").alias(f"__{c}") for c in ("y", "x", "width", "font_size")], (F.trim("text") == "").alias("__blank"))
+    placed = fold(rows, list(keys), ["rank"], ["__y", "__x", "__width", "font_name", "__font_size", "bold", "__blank"], step, "block bigint").drop("__y", "__x", "__width", "__font_size", "__blank")
+    first = placed.groupBy(*keys, "block").agg(
+        F.sort_array(F.collect_list(F.struct("rank", "text"))).alias("__t"), F.min_by("x", "rank").alias("x"), F.min_by("y", "rank").alias("y"), F.max_by(F.col("x") + F.col("width"), "rank").alias("__x1"), F.min_by("height", "rank").alias("height"),
+        F.min_by("font_size", "rank").alias("font_size"), F.min_by("font_name", "rank").alias("font_name"), F.min_by("bold", "rank").alias("bold"), F.min("sequence").alias("sequence"), F.count("*").alias("n"),
+    )
+    return first.withColumn("text", F.array_join(F.col("__t.text"), "")).withColumn("width", F.col("__x1") - F.col("x")).drop("__t", "__x1")
+
+
+def paragraphs(spans: DataFrame, keys=KEYS) -> DataFrame:
+    """Adds `par` and `before` (a blank or nothing): spans in order (`rank`) less than 5 in height and 2 in size from the first of their paragraph."""
+
+    def step(state, y, x, width, size, text):
+        joins = state is not None and abs(y - state[0]) < 5.0 and abs(size - state[1]) < 2.0
+        number = 0 if state is None else state[4] + (not joins)
+        blank = joins and x - state[2] > 1.0 and not state[3] and not text.startswith(" ")
+        right = max(state[2], x + width) if joins else x + width
+        return ((state[0], state[1], right, text.endswith(" ") if text else state[3], number) if joins else (y, size, right, text.endswith(" "), number)), number, " " if blank else ""
+
+    rows = spans.select(*spans.columns, *[F.col(c).cast("double").alias(f"__{c}") for c in ("y", "x", "width", "font_size")])
+    return fold(rows, list(keys), ["rank"], ["__y", "__x", "__width", "__font_size", "text"], step, "par bigint, before string").drop("__y", "__x", "__width", "__font_size")
 
 
 def aggregate_blocks(df: DataFrame, keys, separator: str) -> DataFrame:

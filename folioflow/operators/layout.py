@@ -192,6 +192,32 @@ def xy_cut(blocks: DataFrame, keys=KEYS, least: float = 50.0, sigma: float = 2.0
     return blocks.select(*names).groupBy(*keys).applyInArrow(run, schema)
 
 
+def adaptive_xy_cut(blocks: DataFrame, keys=KEYS) -> DataFrame:
+    """As xy_cut, with the least region and the smoothing that the page's own profile asks for (`adaptive_params`)."""
+    keys, names = list(keys), blocks.columns
+    params = adaptive_params(page_profile(blocks.where("length(text) > 0").withColumn("n", F.length("text").cast("long")), keys))
+    rows = blocks.join(params.select(*keys, F.col("xy_cut_min_region_size").alias("__least"), F.col("gaussian_sigma").alias("__sigma")), keys, "left").fillna({"__least": 50.0, "__sigma": 2.0})
+
+    def run(table: pa.Table) -> pa.Table:
+        x, y, w, h = (table.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("x", "y", "width", "height"))
+        n = np.array([len(t or "") for t in table.column("text").to_pylist()], dtype=float)
+        out = [""] * len(x)
+        _cut(x, y, w, h, n, np.arange(len(x)), 0, "", table.column("__least")[0].as_py(), table.column("__sigma")[0].as_py(), out)
+        return table.select(names).append_column("region", pa.array(out, pa.string()))
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in blocks.schema.fields) + ", region string"
+    return rows.groupBy(*keys).applyInArrow(run, schema)
+
+
+def analyze(blocks: DataFrame, keys=KEYS) -> DataFrame:
+    """A page's complexity, the order that suits it, its headings and a line that says so."""
+    keys = list(keys)
+    found = blocks.select(*keys, heading_class("font_size", "bold").alias("kind")).groupBy(*keys).agg(F.count("*").alias("blocks"), F.count_if(heading_level(F.col("kind")).isNotNull()).alias("headings"))
+    method = F.when(F.col("class") == "Simple", "top to bottom").otherwise("column by column")
+    rows = complexity(blocks, keys).join(found, keys).withColumn("method", method)
+    return rows.select(*keys, "class", "score", "method", "blocks", "headings", F.format_string("%s page of %d blocks, %d headings, read %s", "class", "blocks", "headings", "method").alias("description"))
+
+
 # --- tables -------------------------------------------------------------------------------------
 
 

@@ -134,8 +134,13 @@ def adaptive(blocks: DataFrame, keys=KEYS, page_width: float = 612.0, page_heigh
     return simple(rows.where("class = 'Simple'"), keys).unionByName(hard)
 
 
-def by_structure(df: DataFrame, structure: DataFrame, keys=KEYS) -> DataFrame:
-    """Spans in the order of the structure tree (keys, mcid, ord); those without a listed mcid follow."""
+def by_structure(df: DataFrame, structure: DataFrame, keys=KEYS, *, drop_unlisted: bool = False) -> DataFrame:
+    """Spans in the order of the structure tree (keys, mcid, ord); those without a listed mcid follow.
+
+    `drop_unlisted`: those with an mcid that isn't listed go.
+    """
+    if drop_unlisted:
+        df = df.join(structure, [*keys, "mcid"], "left_semi").unionByName(df.where("mcid IS NULL"))
     joined = df.join(structure, [*keys, "mcid"], "left")
     return _ranked(joined, keys, F.coalesce("ord", F.lit((1 << 31) - 1)), F.col("y").desc(), "x").drop("ord")
 

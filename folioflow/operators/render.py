@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as T
-from folioflow.operators.cluster import aggregate_blocks, lines_of
+from folioflow.operators import order
+from folioflow.operators.cluster import aggregate_blocks, merge_fragments, paragraphs
+from folioflow.operators.connect import anchored_lines
 from folioflow.operators.layout import heading_class, heading_level
 
 KEYS = ("doc_id", "page")
@@ -18,15 +20,21 @@ def _joined(df: DataFrame, keys, order: str, what: Column, separator: str, name:
 
 
 def markdown_pages(spans: DataFrame, keys=KEYS, *, links: bool = True, tolerance: float = 2.0) -> DataFrame:
-    """(keys, markdown): lines from the top, headings by size and weight, bold runs marked, links, cleanup."""
+    """(keys, markdown): fragments of words joined, lines from the top, headings by size and weight, bold runs marked, links, cleanup.
+
+    A bold run gets no marks where they would stand inside a word or between a closing bracket and a sign.
+    """
     keys = list(keys)
-    rows = lines_of(spans, keys, tolerance)
+    rows = anchored_lines(merge_fragments(order.markdown(spans, keys, upward=True), keys), keys, tolerance)
     w = Window.partitionBy(*keys, "line").orderBy("x", "sequence")
     run = rows.withColumn("__new", F.coalesce(F.lag("bold").over(w) != F.col("bold"), F.lit(True)).cast("int")).withColumn("run", F.sum("__new").over(w)).drop("__new")
     runs = aggregate_blocks(run, [*keys, "line", "run"], " ")
     kind = heading_class("font_size", "bold")
     level = heading_level(kind)
-    marked = F.when(level.isNotNull() | ~F.col("bold") | (F.trim("text") == ""), F.col("text")).otherwise(F.concat(F.lit("**"), "text", F.lit("**")))
+    by_run = Window.partitionBy(*keys, "line").orderBy("run")
+    runs = runs.withColumn("__left", F.when(F.lag("run").over(by_run).isNotNull(), F.lit(" "))).withColumn("__right", F.when(F.lead("run").over(by_run).isNotNull(), F.lit(" ")))
+    allowed = T.bold_marker_allowed(F.col("__left"), F.left("text", F.lit(1))) & T.bold_marker_allowed(F.right("text", F.lit(1)), F.col("__right"))
+    marked = F.when(level.isNotNull() | ~F.col("bold") | (F.trim("text") == "") | ~allowed, F.col("text")).otherwise(F.concat(F.lit("**"), "text", F.lit("**")))
     lines = runs.select(*keys, "line", "run", level.alias("level"), marked.alias("t"))
     text = lines.groupBy(*keys, "line").agg(F.sort_array(F.collect_list(F.struct("run", "t"))).alias("l"), F.min("level").alias("level"))
     whole = F.array_join(F.col("l.t"), " ")
@@ -49,20 +57,33 @@ def html_pages(spans: DataFrame, keys=KEYS, *, preserve_layout: bool = False, pa
 
 
 def semantic_html(spans: DataFrame, keys=KEYS) -> DataFrame:
-    """Paragraphs are lines less than 5 apart of sizes less than 2 apart."""
+    """A heading or paragraph for the spans that stand within 5 in height and 2 in size of the paragraph's first, top first."""
     keys = list(keys)
-    lines = aggregate_blocks(lines_of(spans, keys, 2.0), [*keys, "line"], " ")
-    w = Window.partitionBy(*keys).orderBy("line")
-    apart = (F.lag("y").over(w) - F.col("y") >= 5) | (F.abs(F.lag("font_size").over(w) - F.col("font_size")) >= 2)
-    blocks = lines.withColumn("__p", F.coalesce(apart, F.lit(True)).cast("int")).withColumn("par", F.sum("__p").over(w))
-    listed = blocks.groupBy(*keys, "par").agg(F.sort_array(F.collect_list(F.struct("line", "text"))).alias("l"), F.max("font_size").alias("size"), F.bool_or("bold").alias("bold"))
+    blocks = paragraphs(order.html(spans, keys), keys)
+    listed = blocks.groupBy(*keys, "par").agg(F.sort_array(F.collect_list(F.struct("rank", "before", "text"))).alias("l"), F.min_by("font_size", "rank").alias("size"), F.min_by("bold", "rank").alias("bold"))
     level = heading_level(heading_class("size", "bold"))
     tag = F.coalesce(F.concat(F.lit("h"), level.cast("string")), F.lit("p"))
-    body = T.linkify_html(F.array_join(F.col("l.text"), " "))
+    body = T.linkify_html(F.array_join(F.transform("l", lambda t: F.concat(t["before"], t["text"])), ""))
     bold = F.when(level.isNull() & F.col("bold"), F.concat(F.lit("<strong>"), body, F.lit("</strong>"))).otherwise(body)
     return _joined(listed, keys, "par", F.concat(F.lit("<"), tag, F.lit(">"), bold, F.lit("</"), tag, F.lit(">")), "\n", "html")
 
 
+def formatted_chars(chars: DataFrame, keys=KEYS) -> DataFrame:
+    """(keys, markdown) of characters by rounded position: a blank for a gap of more than 2 and a quarter of the width before it, runs of bold
+    characters of a word between marks."""
+    keys = list(keys)
+    w = Window.partitionBy(*keys).orderBy(F.desc("__y"), "__x", "sequence", *(["i"] if "i" in chars.columns else []))
+    rows = chars.withColumn("__y", F.round("y").cast("long")).withColumn("__x", F.round("x").cast("long"))
+    newline = F.coalesce(F.lag("__y").over(w) != F.col("__y"), F.lit(False))
+    gap = F.col("x") - F.lag(F.col("x") + F.col("width")).over(w)
+    blank = ~newline & F.coalesce(gap > F.greatest(F.lit(2.0), 0.25 * F.lag("width").over(w)), F.lit(False))
+    other = F.coalesce(F.lag("bold").over(w) != F.col("bold"), F.lit(False))
+    rows = rows.withColumn("__before", F.when(newline, F.lit("\n")).when(blank, F.lit(" ")).otherwise(F.lit(""))).withColumn("__new", (newline | blank | other).cast("int")).withColumn("__n", F.row_number().over(w))
+    runs = rows.withColumn("__run", F.sum("__new").over(w)).groupBy(*keys, "__run").agg(F.sort_array(F.collect_list(F.struct("__n", "char"))).alias("l"), F.min_by("__before", "__n").alias("before"), F.bool_or("bold").alias("bold"))
+    text = F.array_join(F.col("l.char"), "")
+    return _joined(runs, keys, "__run", F.concat("before", F.when(F.col("bold"), F.concat(F.lit("**"), text, F.lit("**"))).otherwise(text)), "", "markdown")
+
+
 def layout_html(spans: DataFrame, keys=KEYS, page_height: float = 792.0) -> DataFrame:
     number = lambda c: F.format_string("%.1f", c)
     top = F.lit(page_height) - F.col("y") - F.col("height")

@@ -25,6 +25,7 @@ SYMBOL |= {0x22: "∀", 0x24: "∃", 0x27: "∋", 0x2A: "∗", 0x2D: "−", 0x40
 SYMBOL |= dict(zip(range(0xA1, 0xFF), "ϒ′≤⁄∞ƒ♣♦♥♠↔←↑→↓°±″≥×∝∂•÷≠≡≈…⏐⎯↵ℵℑℜ℘⊗⊕∅∩∪⊃⊇⊄⊂⊆∈∉∠∇®©™∏√⋅¬∧∨⇔⇐⇑⇒⇓◊〈®©™∑⎛⎜⎝⎡⎢⎣⎧⎨⎩⎪ 〉∫⌠⎮⌡⎞⎟⎠⎤⎥⎦⎫⎬⎭"))
 DINGBATS = {0x20: " "} | {b: chr(0x2701 + b - 0x21) for b in range(0x21, 0x7F)} | {b: chr(0x2761 + b - 0xA1) for b in range(0xA1, 0xA8)}
 DINGBATS |= dict(zip(range(0xA8, 0xAC), "♣♦♥♠")) | {b: chr(0x2460 + b - 0xAC) for b in range(0xAC, 0xB6)} | {b: chr(0x2776 + b - 0xB6) for b in range(0xB6, 0xFF)}
+DINGBATS |= {0x25: "☎", 0x2A: "☛", 0x2B: "☞", 0x48: "★", 0x6C: "●", 0x6E: "■", 0x73: "▲", 0x74: "▼", 0x75: "◆", 0x77: "◗", 0xD5: "→", 0xD6: "↔", 0xD7: "↕"}
 ENCODINGS = {"StandardEncoding": STANDARD, "WinAnsiEncoding": WIN_ANSI, "MacRomanEncoding": MAC_ROMAN, "PDFDocEncoding": {b: PDF_DOC.get(b, chr(b)) for b in range(24, 256)}}
 
 _MARKS = {
@@ -224,7 +225,9 @@ class Font:
 
 
 def fallback(code: int) -> str | None:
-    """A code without a mapping: printable code points as they are."""
-    if code < 32 or 0xD800 <= code < 0xE000 or code > 0x10FFFF:
+    """A code without a mapping: the Windows punctuation from 128 to 159, else printable code points as they are."""
+    if 0x80 <= code < 0xA0:
+        return WIN_ANSI.get(code)
+    if code < 32 or 0xD800 <= code < 0xE000 or code > 0x10FFFF or code == 0x7F:
         return None
     return chr(code)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from folioflow.plans import pdf_queries, report_queries, span_queries, text_queries
+from folioflow.plans import layout_queries, pdf_queries, report_queries, span_queries, text_queries
 
-MODULES = (text_queries, span_queries, report_queries, pdf_queries)
+MODULES = (text_queries, span_queries, layout_queries, report_queries, pdf_queries)
 
 
 def queries() -> dict:

@@ -81,7 +81,7 @@ def quality_distribution(spark, sf_dir):
 
 def merged_results(spark, sf_dir):
     docs = _t(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
-    new = docs.where("source IN ('src1', 'src2') AND doc_id % 2 = 0").withColumn("n_chars", F.col("n_chars") * 2)
+    new = docs.where("source IN ('src1', 'src2')").withColumn("n_chars", F.col("n_chars") * 2)
     return R.merge_results(docs, new, "source").groupBy("source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
 
 
@@ -196,7 +196,7 @@ ORACLES = {
     + " SELECT source, count(*) AS files, round(avg(ratio), 6) AS mean_ratio, round(median(ratio), 6) AS median_ratio, CAST(sum(a) AS BIGINT) AS ours, CAST(sum(b) AS BIGINT) AS theirs, count(*) FILTER (ratio < 0.8) AS smaller, count(*) FILTER (ratio BETWEEN 0.8 AND 1.2) AS similar, count(*) FILTER (ratio > 1.2) AS larger FROM r GROUP BY source",
     "quality_distribution": _SIZES
     + ", k AS (SELECT abs(a / greatest(b, 1) - 1) AS d, 1.0 - (doc_id % 10) / 20 AS s FROM c), q AS (SELECT CASE WHEN d < 0.05 AND s > 0.95 THEN 'EXCELLENT' WHEN d < 0.15 AND s > 0.8 THEN 'GOOD' WHEN d < 0.3 AND s > 0.6 THEN 'FAIR' ELSE 'POOR' END AS class FROM k) SELECT class, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (), 4) AS percent FROM q GROUP BY class",
-    "merged_results": "WITH n AS (SELECT doc_id, source, n_chars * 2 AS n_chars FROM documents WHERE source IN ('src1', 'src2') AND doc_id % 2 = 0), m AS (SELECT doc_id, source, n_chars FROM documents WHERE source NOT IN (SELECT source FROM n) UNION ALL SELECT * FROM n) SELECT source, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM m GROUP BY source",
+    "merged_results": "WITH n AS (SELECT doc_id, source, n_chars * 2 AS n_chars FROM documents WHERE source IN ('src1', 'src2')), m AS (SELECT doc_id, source, n_chars FROM documents WHERE source NOT IN (SELECT source FROM n) UNION ALL SELECT * FROM n) SELECT source, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM m GROUP BY source",
     "failure_groups": f"{ROWS} SELECT 'low quality in ' || version AS error, count(*) AS files FROM rows_ WHERE NOT ok GROUP BY version",
     "html_report": f"{ROWS}, v AS (SELECT version, count(*) AS files FROM rows_ WHERE version IS NOT NULL GROUP BY version) SELECT '<html><head><title>Versions</title></head><body><table><tr><th>version</th><th>files</th></tr>' || string_agg('<tr><td>' || version || '</td><td>' || files || '</td></tr>', '' ORDER BY version) || '</table></body></html>' AS html FROM v",
     "order_report": "SELECT o_orderpriority, c_mktsegment, count(*) AS n, count(*) FILTER (o_orderstatus = 'O') AS open, round(sum(o_totalprice), 2) AS value FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL",

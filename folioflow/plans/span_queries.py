@@ -137,24 +137,10 @@ e AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY round(y) D
 SELECT doc_id, page, count(*) AS n, sum(x) AS sx, CAST(sum(unicode(ch) * (rank % 97)) AS BIGINT) AS codes FROM e GROUP BY doc_id, page"""
 
 
-def char_words(spark, sf_dir):
-    return cluster.words(cluster.explode_chars(spans(spark, sf_dir)), eps=8.0).groupBy(*K).agg(F.count("*").alias("words"), F.sum(F.length("text")).cast("long").alias("chars"), F.max("text").alias("greatest"))
-
 
 WORDS_SQL = SPANS + "SELECT doc_id, page, count(*) AS words, CAST(sum(length(text)) AS BIGINT) AS chars, max(text) AS greatest FROM spans WHERE length(text) > 0 GROUP BY doc_id, page"
 
 
-def words_to_lines(spark, sf_dir):
-    shifted = spans(spark, sf_dir).withColumn("x", F.col("x") + 60 * F.floor(F.col("sequence") / 7))
-    return cluster.text_lines(shifted).select(*K, F.col("line").cast("long").alias("line"), F.col("part").cast("long").alias("part"), F.col("n").alias("words"), F.md5("text").alias("digest"))
-
-
-LINES_SQL = SPANS + """, w AS (SELECT doc_id, page, sequence, y, text, width, x + 60 * (sequence // 7) AS x FROM spans),
-l AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id, page ORDER BY y DESC) - 1 AS line FROM w),
-g AS (SELECT *, CASE WHEN x - lag(x + width) OVER (PARTITION BY doc_id, page, line ORDER BY x, sequence) <= 50 THEN 0 ELSE 1 END AS st FROM l),
-p AS (SELECT *, sum(st) OVER (PARTITION BY doc_id, page, line ORDER BY x, sequence) - 1 AS part FROM g)
-SELECT doc_id, page, line, CAST(part AS BIGINT) AS part, count(*) AS words, md5(string_agg(text, ' ' ORDER BY x, sequence)) AS digest FROM p GROUP BY doc_id, page, line, part"""
-
 
 def page_text(spark, sf_dir):
     return cluster.page_text(order.simple(spans(spark, sf_dir)))
@@ -167,9 +153,6 @@ t AS (SELECT doc_id, page, rank, CASE WHEN dy > 2 THEN repeat(chr(10), CAST(grea
 SELECT doc_id, page, string_agg(t, '' ORDER BY rank) AS text FROM t GROUP BY doc_id, page"""
 
 
-def line_breaks(spark, sf_dir):
-    return cluster.separators(order.simple(spans(spark, sf_dir))).groupBy(*K, "before").agg(F.count("*").alias("n"))
-
 
 def bold_runs(spark, sf_dir):
     rows = cluster.lines_of(spans(spark, sf_dir), K, 2.0).withColumn("bold", F.col("sequence") % 5 < 2)
@@ -284,9 +267,6 @@ def md_chars(spark, sf_dir):
     return render.markdown_from_chars(cluster.explode_chars(spans(spark, sf_dir)))
 
 
-def html_page(spark, sf_dir):
-    return render.html_pages(spans(spark, sf_dir))
-
 
 def html_layout(spark, sf_dir):
     return render.html_pages(spans(spark, sf_dir), preserve_layout=True).select(*K, F.md5("html").alias("digest"), F.length("html").cast("long").alias("length"))
@@ -385,16 +365,11 @@ QUERIES = {
     "order_md": _ranks(order.markdown),
     "order_html": _ranks(order.html),
     "order_columns": _ranks(order.by_columns),
-    "order_graph": _ranks(order.precedence),
     "order_adaptive": _ranks(order.adaptive),
-    "order_two_columns": _ranks(order.two_columns),
     "span_columns": span_columns,
     "dedup_spans": dedup_spans,
     "merge_spans": merge_spans,
     "char_explode": char_explode,
-    "char_words": char_words,
-    "words_to_lines": words_to_lines,
-    "line_breaks": line_breaks,
     "page_text": page_text,
     "bold_runs": bold_runs,
     "page_profile": page_profile,
@@ -408,7 +383,6 @@ QUERIES = {
     "features": features,
     "md_page": md_page,
     "md_chars": md_chars,
-    "html_page": html_page,
     "html_layout": html_layout,
     "doc_concat": doc_concat,
     "doc_concat_html": doc_concat_html,
@@ -430,13 +404,10 @@ ORACLES = {
     "order_simple": _ranks_sql("round(y) DESC, x"),
     "order_md": _ranks_sql("y DESC, x"),
     "order_html": _ranks_sql("y DESC, x"),
-    "order_graph": _ranks_sql("y DESC, x"),
     "span_columns": COLUMNS_SQL,
     "dedup_spans": DEDUP_SQL,
     "merge_spans": MERGE_SQL,
     "char_explode": CHARS_SQL,
-    "char_words": WORDS_SQL,
-    "words_to_lines": LINES_SQL,
     "page_text": PAGE_TEXT_SQL,
     "bold_runs": RUNS_SQL,
     "page_profile": PROFILE_CTE + "SELECT doc_id, page, median_font_size, median_char_width, median_line_spacing, round(avg_chars_per_line, 6) AS avg_chars_per_line, round(line_y_variance, 6) AS line_y_variance, column_count FROM pr",

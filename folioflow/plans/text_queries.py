@@ -71,7 +71,7 @@ FROM f WHERE b <> '' OR p <> '' OR d <> '' GROUP BY doc_id"""
 
 
 def uppercase_report(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", F.round(T.uppercase_ratio("text"), 9).alias("ratio"), T.mostly_uppercase(F.upper(F.substring("text", 1, 40))).alias("title_case"))
+    return _docs(spark, sf_dir).select("doc_id", F.round(T.uppercase_ratio("text"), 9).alias("ratio"), T.mostly_uppercase(F.upper("text")).alias("title_case"))
 
 
 def markdown_structure(spark, sf_dir):
@@ -195,7 +195,7 @@ ORACLES = {
     "html_linkify": _sql(URLS, rf"""regexp_replace(regexp_replace({ESCAPE}, '(https?://[^\s<>()]+)', '<a href="\1">\1</a>', 'g'), '{T.EMAIL}', '<a href="mailto:\1">\1</a>', 'g')"""),
     "list_markers": LISTS_SQL,
     "uppercase_ratio": r"""SELECT doc_id, round(CASE WHEN len(regexp_extract_all(text, '\p{L}')) > 0 THEN len(regexp_extract_all(text, '\p{Lu}')) / len(regexp_extract_all(text, '\p{L}')) ELSE 0.0 END, 9) AS ratio,
-      coalesce(len(regexp_extract_all(upper(substring(text, 1, 40)), '\p{Lu}')) / nullif(len(regexp_extract_all(upper(substring(text, 1, 40)), '\p{L}')), 0), 0) > 0.7 AS title_case FROM documents""",
+      coalesce(len(regexp_extract_all(upper(text), '\p{Lu}')) / nullif(len(regexp_extract_all(upper(text), '\p{L}')), 0), 0) > 0.7 AS title_case FROM documents""",
     "md_structure": STRUCTURE_SQL,
     "feature_counts": FEATURES_SQL,
     "ligature_patterns": LIGATURE_SQL,

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from folioflow.corpus import Corpus, write_images
 from folioflow.functions import text as T
-from folioflow.operators import cluster, fold, layout, order, render
+from folioflow.operators import cluster, connect, fold, layout, order, render
 from folioflow.pdf import samples
 from folioflow.plans import catalogue
 from folioflow.sources import pdf
@@ -119,3 +119,46 @@ def test_precedence_of_staggered_baselines(spark):
     assert got[1] == ["a", "c", "b", "d", "e"]
     at = {int(n): k for k, n in enumerate(got[2])}
     assert sorted(at) == list(range(30)) and all(at[a] < at[b] for a in range(30) for b in range(a + 2, 30))
+
+
+def test_words_hold_together_on_uneven_ground(spark):
+    rows = [(c, 6 * i, 700 + (0.5 if i == 1 else 0), 6, 12, False) for i, c in enumerate("Hello")] + [("x", 60, 700, 6, 12, False)]
+    out = cluster.words(spans(spark, rows).withColumnRenamed("text", "char")).orderBy("x").collect()
+    assert [r.text for r in out] == ["Hello", "x"]
+
+
+def test_char_clusters_grow_from_the_first(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(chr(97 + i % 26), rng.randrange(0, 120), rng.randrange(600, 640), 6, rng.choice((8, 12, 30)), False) for i in range(120)]
+    cluster_of, at = {}, [(x + 3, y + 6, s) for _, x, y, _, s, _ in rows]
+    for seed in range(len(rows)):
+        if seed not in cluster_of:
+            cluster_of[seed], todo = seed, [seed]
+            while todo:
+                cx, cy, size = at[todo.pop()]
+                for k, (ox, oy, _) in enumerate(at):
+                    if k not in cluster_of and abs(cx - ox) <= 8 and abs(cy - oy) < 0.5 * size:
+                        cluster_of[k] = seed
+                        todo.append(k)
+    got = connect.char_clusters(spans(spark, rows).withColumnRenamed("text", "char")).collect()
+    found = {}
+    for r in got:
+        found.setdefault(r.word, set()).add(r.sequence)
+    expected = {}
+    for k, seed in cluster_of.items():
+        expected.setdefault(seed, set()).add(k)
+    assert sorted(map(sorted, found.values())) == sorted(map(sorted, expected.values()))
+
+
+def test_lines_are_anchored_to_their_first_row(spark):
+    rows = [(f"w{i}", 10 * i, 700 - 1.9 * i, 6, 12, False) for i in range(10)]
+    out = {r.sequence: r.line for r in connect.anchored_lines(spans(spark, rows)).collect()}
+    assert [out[i] for i in range(10)] == [0, 0, 1, 1, 2, 2, 3, 3, 4, 4]
+
+
+def test_analysis_of_columns_by_the_pages_profile(spark):
+    rows = [(f"{side}{i}", x, 700 - 20 * i, 150, 12, False) for i in range(5) for side, x in (("l", 72), ("r", 350))]
+    regions = {r.text: r.region for r in layout.adaptive_xy_cut(spans(spark, rows)).collect()}
+    assert set(regions) == {r[0] for r in rows}
