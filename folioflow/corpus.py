@@ -98,6 +98,11 @@ class Corpus:
         named = rendered.join(self.files.select("doc_id", "category", "path"), "doc_id")
         named.select("category", "path", F.col(text).alias("text")).write.partitionBy("category").parquet(folder)
 
+    def export_files(self, rendered: DataFrame, folder: str, text: str = "text", suffix: str = "txt") -> DataFrame:
+        """Writes one file a document, <category>/<name>.<suffix>; returns (doc_id, file). Tasks write their own."""
+        named = rendered.join(self.files.select("doc_id", "category", "path"), "doc_id")
+        return write_texts(named.select("doc_id", "category", "path", F.col(text).alias("text")), folder, suffix)
+
     def export_images(self, folder: str) -> DataFrame:
         """Writes images as files img_001.jpg or .png below the document's folder; returns (doc_id, file). Tasks write their own."""
         return write_images(pdf.images(self.files, password=self.password), folder)
@@ -126,3 +131,31 @@ def write_images(images: DataFrame, folder: str) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "file": pa.array(files, pa.string())})
 
     return images.mapInArrow(run, "doc_id long, file string")
+
+
+def write_texts(rows: DataFrame, folder: str, suffix: str) -> DataFrame:
+    """Files of (doc_id, category, path, text); a task that runs again writes the same file again."""
+    import pyarrow as pa
+    from pyarrow import fs as pafs
+
+    def run(batches):
+        filesystem, root = pafs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        for batch in batches:
+            files = []
+            for r in batch.to_pylist():
+                place = f"{r['category']}/" if r["category"] else ""
+                name = f"{place}{r['path'].rsplit('/', 1)[-1].rsplit('.', 1)[0]}.{suffix}"
+                filesystem.create_dir(f"{root}/{place}", recursive=True)
+                with filesystem.open_output_stream(f"{root}/{name}") as out:
+                    out.write((r["text"] or "").encode())
+                files.append(name)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(files, pa.string())], names=["doc_id", "file"])
+
+    return rows.mapInArrow(run, "doc_id long, file string")
+
+
+def stamped(name: str, suffix: str, when=None) -> str:
+    """`name` with the time, for outputs that must not overwrite one another."""
+    from datetime import datetime
+
+    return f"{name}_{(when or datetime.now()).strftime('%Y%m%d_%H%M%S')}.{suffix}"

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from folioflow.corpus import Corpus, write_images
+from folioflow.corpus import Corpus, stamped, write_images
 from folioflow.functions import text as T
 from folioflow.operators import cluster, connect, fold, layout, order, render
 from folioflow.pdf import samples
@@ -162,3 +162,15 @@ def test_analysis_of_columns_by_the_pages_profile(spark):
     rows = [(f"{side}{i}", x, 700 - 20 * i, 150, 12, False) for i in range(5) for side, x in (("l", 72), ("r", 350))]
     regions = {r.text: r.region for r in layout.adaptive_xy_cut(spans(spark, rows)).collect()}
     assert set(regions) == {r[0] for r in rows}
+
+
+def test_one_file_a_document(spark, tmp_path):
+    from datetime import datetime
+
+    samples.write_all(str(tmp_path / "in"))
+    c = Corpus(spark, str(tmp_path / "in"))
+    out = c.export_files(c.to_plain_text_all(), str(tmp_path / "out")).collect()
+    files = {r.file for r in out}
+    assert any(f.endswith("simple.txt") for f in files) and all((tmp_path / "out" / f).exists() for f in files)
+    assert "Hello World" in (tmp_path / "out" / next(f for f in files if f.endswith("simple.txt"))).read_text()
+    assert stamped("report", "json", datetime(2024, 5, 6, 7, 8, 9)) == "report_20240506_070809.json"
