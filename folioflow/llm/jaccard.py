@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import Sorted, bucket_bits, components, packed, read_table, slices, text_buffers, write_sorted, written
+from folioflow.llm.common import Sorted, bucket_bits, components, packed, read_table, shuffle_partitions, slices, text_buffers, write_sorted, written
 from folioflow.llm.words import mix, shingles, spans
 
 K = 5
@@ -291,7 +291,7 @@ def pair_index(blocks: DataFrame, percent: int = PERCENT, hot: int = HOT) -> Dat
 
     found = written(blocks.groupBy("bucket").applyInArrow(pair, "a long, b long, ids binary, ns binary, at int, sig long"), "candidates")
     plain = found.where("ids IS NULL").select("a", "b")
-    split = found.where("ids IS NOT NULL").select("ids", "ns", "at").repartition(F.xxhash64("ids")).mapInArrow(expand, "a long, b long")
+    split = found.where("ids IS NOT NULL").select("ids", "ns", "at").repartition(shuffle_partitions(found.sparkSession), F.xxhash64("ids")).mapInArrow(expand, "a long, b long")
     return plain.unionByName(split).distinct()
 
 
