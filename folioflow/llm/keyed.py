@@ -21,7 +21,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import Sorted, _array, _Sink, bucket_bits, shared_dir, slices, tidy, write_sorted, written
+from folioflow.llm.common import Sorted, _array, _Sink, bucket_bits, roomy, shared_dir, slices, tidy, write_sorted, written
 from folioflow.llm.words import sorting
 
 BITS = 48
@@ -186,6 +186,7 @@ def sums(docs: DataFrame, rows_of, names: tuple[str, ...], what: str, once: tupl
     cuts = [8 if x in shares else 12 for x in names]  # what is rounded to whole numbers in the end needs fewer bits
 
     def send(batches):
+        roomy()
         held: list = []
         size, numbers = 0, {}
 

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import Sorted, read_table, scratch, slices, text_buffers, write_sorted, written
+from folioflow.llm.common import Sorted, read_table, roomy, scratch, slices, text_buffers, write_sorted, written
 from folioflow.llm.keyed import Sums, freed, sums
 from folioflow.llm.words import groups, lines, mix, shingles, spans, take_ranges
 
@@ -240,14 +240,14 @@ def log_probabilities(model: Sorted, lang: np.ndarray, keys: np.ndarray, order:
 _EDGE = mix(np.array([START, END], dtype=np.uint64), 7)
 
 
-def word_grams(column: pa.Array, lang: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+def word_grams(column: pa.Array, lang: np.ndarray, words: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[dict[str, np.ndarray], np.ndarray]:
     """Keys of the trigram that ends at every word and at the end mark of each row (tri), and the rows' offsets.
 
     Besides the keys of all pairs and words of the row but its first mark: tri[i] begins with pair[at[i]] and
     ends with pair[at[i] + 1], whose words are word[at[i]] and word[at[i] + 1]. A row
-    begins with two start marks; a row without words has no trigram. `row` is the row of each pair.
+    begins with two start marks; a row without words has no trigram. `row` is the row of each pair. `words`: the folded words' hashes and offsets, where known.
     """
-    _, _, h, off = spans(*text_buffers(column), lower=True)
+    h, off = words or spans(*text_buffers(column), lower=True)[2:]
     n = np.diff(off)
     rows = np.flatnonzero(n)
     line_off = np.concatenate([[0], np.cumsum(np.where(n > 0, n + 3, 0))])
@@ -322,9 +322,9 @@ def word_tables(docs: DataFrame) -> WordModel:
     return WordModel(threes, twos, sums(docs, word, ("c", "t", "m"), "words", shares={"m": "t"}))
 
 
-def word_log_probabilities(model: WordModel, column: pa.Array, langs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_log_probabilities(model: WordModel, column: pa.Array, langs: np.ndarray, words_=None) -> tuple[np.ndarray, np.ndarray]:
     """ln p of each word and end mark by the counts of all other texts of its language; the rows' offsets."""
-    g, off = word_grams(column, langs)
+    g, off = word_grams(column, langs, words_)
     n = np.diff(off)
     if not len(g["tri"]):
         return np.zeros(0), off
@@ -381,11 +381,12 @@ def word_log_probabilities(model: WordModel, column: pa.Array, langs: np.ndarray
     return np.log(np.maximum(p, 1e-30)), off
 
 
-def base_counts(column: pa.Array) -> dict[str, np.ndarray]:
-    r"""n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of each row."""
+def base_counts(column: pa.Array) -> tuple[dict[str, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    r"""n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of each row; and the folded words' hashes and offsets."""
     raw, offsets = text_buffers(column)
     n = len(offsets) - 1
-    s, e, h, off = spans(raw, offsets)
+    folded: list[np.ndarray] = []
+    s, e, h, off = spans(raw, offsets, folded=folded)
     total = lambda mask: np.diff(np.concatenate([[0], np.cumsum(mask)])[offsets])
     blank = np.zeros(256, bool)
     blank[[0x20, *range(0x09, 0x0E)]] = True
@@ -414,7 +415,7 @@ def base_counts(column: pa.Array) -> dict[str, np.ndarray]:
         "n_symbols": total(mark[raw]),
         "n_dup_lines": np.bincount(lrow[order][1:][again], minlength=n),
         "n_repeat_words": covered[off[1:]] - covered[off[:-1]],
-    }
+    }, (np.concatenate(folded) if folded else np.zeros(0, np.uint64), off)
 
 
 def quality_rules(docs: DataFrame, order: int = ORDER, below: float = LOWER, above: float = UPPER) -> DataFrame:
@@ -429,16 +430,17 @@ def quality_rules(docs: DataFrame, order: int = ORDER, below: float = LOWER, abo
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def score(batches):
+        roomy()
         model = Sorted(files)
         for batch in batches:
             for part in slices(batch, most=1 << 20):
-                counts = base_counts(part.column("text"))
+                counts, folded = base_counts(part.column("text"))
                 keys, off = char_ngrams(*text_buffers(part.column("text")), order)
                 lang = np.repeat(part.column("lang_id").to_numpy(), np.diff(off))
                 logs = np.concatenate([[0.0], np.cumsum(log_probabilities(model, lang, keys, order))])
                 n = np.diff(off)
                 mean = (logs[off[1:]] - logs[off[:-1]]) / np.maximum(n, 1)
-                word_logs, word_off = word_log_probabilities(word_model, part.column("text"), part.column("lang_id").to_numpy())
+                word_logs, word_off = word_log_probabilities(word_model, part.column("text"), part.column("lang_id").to_numpy(), folded)
                 word_logs, tokens = np.concatenate([[0.0], np.cumsum(word_logs)]), np.diff(word_off)
                 word_mean = (word_logs[word_off[1:]] - word_logs[word_off[:-1]]) / np.maximum(tokens, 1)
                 yield pa.RecordBatch.from_arrays(

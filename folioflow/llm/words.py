@@ -70,11 +70,12 @@ def _cut(raw: np.ndarray, start: int, separator: np.ndarray) -> int:
     return len(raw)
 
 
-def spans(raw: np.ndarray, offsets: np.ndarray, *, separator: np.ndarray = _SPACE, lower: bool = False, classes: np.ndarray | None = None):
+def spans(raw: np.ndarray, offsets: np.ndarray, *, separator: np.ndarray = _SPACE, lower: bool = False, classes: np.ndarray | None = None, folded: list | None = None):
     """Maximal runs of bytes that aren't separators, within each row; with `classes`, runs of one
     class (0 separates, 2 is never joined).
 
-    Returns starts, ends (bytes), hashes (uint64) and the n+1 offsets of each row's runs.
+    Returns starts, ends (bytes), hashes (uint64) and the n+1 offsets of each row's runs. To a list `folded` the hashes
+    with A-Z lowered are added.
     Segments of a quarter of a megabyte bound the memory, whatever a text's length; a segment ends
     after a separator.
     """
@@ -102,6 +103,8 @@ def spans(raw: np.ndarray, offsets: np.ndarray, *, separator: np.ndarray = _SPAC
         s = np.flatnonzero(opens)
         e = np.flatnonzero(~gap & after) + 1
         all_h.append(_span_hashes(piece, s, e, lower))
+        if folded is not None:
+            folded.append(_span_hashes(piece, s, e, True))
         all_s.append(s + start)
         all_e.append(e + start)
         start = end
