@@ -71,11 +71,20 @@ def decoded(raw: bytes, second: bytes, more: bytes, n: int, n_values: int) -> tu
     return keys, [_unplanes(more[n * (2 + 4 * k) : n * (6 + 4 * k)], np.float32, n) for k in range(n_values)]
 
 
-def _merged(lang: np.ndarray, keys: np.ndarray, values: list[np.ndarray]):
+def _merged(held: list) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The parts (lang, keys, values) that `held` has as one, summed by key; it is emptied, a column after the other, to spare memory."""
+    langs, keys, columns = [p[0] for p in held], [p[1] for p in held], [list(v) for v in zip(*(p[2] for p in held))]
+    held.clear()
+    keys = np.concatenate(keys)
     order = np.argsort(keys)
-    lang, keys = lang[order], keys[order]
+    keys, lang = keys[order], np.concatenate(langs)[order]
+    del langs
     first = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (lang[1:] != lang[:-1])])) if len(keys) else np.zeros(0, np.int64)
-    return lang[first], keys[first], [np.add.reduceat(v[order], first, dtype=np.float64).astype(np.float32) if len(first) else v for v in values]
+    keys, lang, values = keys[first], lang[first], []
+    while columns:
+        column = np.concatenate(columns.pop(0))[order]
+        values.append(np.add.reduceat(column, first, dtype=np.float64).astype(np.float32) if len(first) else column)
+    return lang, keys, values
 
 
 def _save(root: str, bits: int, keys: np.ndarray, values: dict[str, np.ndarray], whole: tuple[str, ...], shares: dict[str, str]) -> str:
@@ -190,9 +199,6 @@ def sums(docs: DataFrame, rows_of, names: tuple[str, ...], what: str, once: tupl
         held: list = []
         size, numbers = 0, {}
 
-        def joined():
-            return _merged(np.concatenate([p[0] for p in held]), np.concatenate([p[1] for p in held]), [np.concatenate(v) for v in zip(*(p[2] for p in held))])
-
         def sent(lang, keys, values):
             for name, number in numbers.items():
                 own = np.flatnonzero(lang == number)
@@ -216,13 +222,13 @@ def sums(docs: DataFrame, rows_of, names: tuple[str, ...], what: str, once: tupl
                 held.append((small, keys.view(np.uint64) >> np.uint64(64 - BITS), [np.asarray(v, np.float32) for v in values]))
                 size += len(held[-1][1])
                 if size > 2 * BLOCK:
-                    held = [joined()]
+                    held = [_merged(held)]
                     size = len(held[0][1])
                     if size > BLOCK:  # bounds the worker's memory; what is sent twice is summed in its bucket
                         yield from sent(*held[0])
                         held, size = [], 0
         if held:
-            yield from sent(*joined())
+            yield from sent(*_merged(held))
         held = []
         tidy()
 
