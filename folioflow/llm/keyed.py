@@ -71,12 +71,32 @@ def decoded(raw: bytes, second: bytes, more: bytes, n: int, n_values: int) -> tu
     return keys, [_unplanes(more[n * (2 + 4 * k) : n * (6 + 4 * k)], np.float32, n) for k in range(n_values)]
 
 
+def ordering(keys: np.ndarray) -> np.ndarray:
+    """An order that sorts keys (uint64, 48 bits): their upper bits are sorted with the places in the lower ones, then the few that agree in those."""
+    bits = max(1, (len(keys) - 1).bit_length()) if len(keys) else 1
+    if bits > 24:
+        return np.argsort(keys)
+    shift, mask = np.uint64(max(0, BITS + bits - 64)), np.uint64((1 << bits) - 1)
+    both = keys >> shift
+    both <<= np.uint64(bits)
+    both |= np.arange(len(keys), dtype=np.uint64)
+    both.sort()
+    order = (both & mask).view(np.int64)
+    ordered = keys[order]
+    wrong = np.flatnonzero(ordered[1:] < ordered[:-1])
+    both >>= np.uint64(bits)
+    for upper in np.unique(both[wrong]).tolist():
+        a, b = np.searchsorted(both, np.array([upper, upper + 1], np.uint64)).tolist()
+        order[a:b] = order[a:b][np.argsort(ordered[a:b], kind="stable")]
+    return order
+
+
 def _merged(held: list) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """The parts (lang, keys, values) that `held` has as one, summed by key; it is emptied, a column after the other, to spare memory."""
     langs, keys, columns = [p[0] for p in held], [p[1] for p in held], [list(v) for v in zip(*(p[2] for p in held))]
     held.clear()
     keys = np.concatenate(keys)
-    order = np.argsort(keys)
+    order = ordering(keys)
     keys, lang = keys[order], np.concatenate(langs)[order]
     del langs
     first = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (lang[1:] != lang[:-1])])) if len(keys) else np.zeros(0, np.int64)
@@ -87,14 +107,36 @@ def _merged(held: list) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     return lang, keys, values
 
 
+def _counted(held: list, n_langs: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """As `_merged`, of parts without values, each key of which counts once, or with a count: one sort of keys and languages together."""
+    if n_langs > 1 << (64 - BITS):
+        held[:] = [(lang, keys, values or [np.ones(len(keys), np.float32)]) for lang, keys, values in held]
+        return _merged(held)
+    free = np.uint64(64 - BITS)
+    summed, once = [p for p in held if p[2]], [p for p in held if not p[2]]
+    held.clear()
+    parts = []
+    while once:
+        lang, keys, _ = once.pop()
+        parts.append(keys << free | lang.astype(np.uint64))
+    both = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+    del parts
+    both.sort()
+    first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]])) if len(both) else np.zeros(0, np.int64)
+    counts = np.diff(np.append(first, len(both))).astype(np.float32)
+    both = both[first]
+    lang, keys = (both & np.uint64((1 << int(free)) - 1)).astype(np.int32), both >> free
+    return _merged([*summed, (lang, keys, [counts])]) if summed else (lang, keys, [counts])
+
+
 def _save(root: str, bits: int, keys: np.ndarray, values: dict[str, np.ndarray], whole: tuple[str, ...], shares: dict[str, str]) -> str:
     """Writes the arrays of one bucket.
 
-    rem: the keys' lower 32 bits. start: where each range of keys begins, about 16 keys a range. Whole numbers take a
+    rem: the keys' lower 32 bits. start: where each range of keys begins, four to eight keys a range. Whole numbers take a
     byte; those from 255 on stand in `more` with their places. A share is stored as its part of the other value, in 16 bits.
     """
     part, rest = uuid.uuid4().hex, BITS - bits
-    low = min(32, rest, max(0, rest - (len(keys) >> 4).bit_length()))
+    low = min(32, rest, max(0, rest - (len(keys) >> 3).bit_length()))
     inside = keys & np.uint64((1 << rest) - 1)
     ranges = np.arange((1 << (rest - low)) + 1, dtype=np.uint64)
     arrays = {"rem": inside.astype(np.uint32), "start": np.searchsorted(inside, ranges << np.uint64(low)).astype(np.uint32 if len(keys) < 1 << 32 else np.int64)}
@@ -143,7 +185,19 @@ class Sums:
     def values(self, keys: np.ndarray, *names: str, absent: float = 0.0) -> list[np.ndarray]:
         """Values of every 64-bit key, `absent` where there is no entry."""
         order = sorting(keys.view(np.uint64))
-        ordered = keys.view(np.uint64)[order] >> np.uint64(64 - BITS)
+        ordered = keys.view(np.uint64)[order]
+        first = np.ones(len(keys), dtype=bool)
+        first[1:] = ordered[1:] != ordered[:-1]
+        found = self.ordered_values(ordered[first], *names, absent=absent)
+        number, out = np.cumsum(first) - 1, []
+        for x in found:
+            out.append(np.empty(len(keys)))
+            out[-1][order] = x[number]
+        return out
+
+    def ordered_values(self, keys: np.ndarray, *names: str, absent: float = 0.0) -> list[np.ndarray]:
+        """The same of keys (uint64) whose upper bits ascend."""
+        ordered = keys >> np.uint64(64 - BITS)
         out = [np.full(len(keys), float(absent)) for _ in names]
         rest = BITS - self.bits
         edges = np.concatenate([[0], np.searchsorted(ordered, np.arange(1, 1 << self.bits, dtype=np.uint64) << np.uint64(rest)), [len(keys)]])
@@ -156,15 +210,18 @@ class Sums:
             if not len(rem):
                 continue
             low = rest - (len(start) - 1).bit_length() + 1
-            sub, want = (own >> np.uint64(low)).astype(np.int64), own.astype(np.uint32)
-            first, end = start[sub].astype(np.int64), start[sub + 1].astype(np.int64)
-            last, top = end, len(rem) - 1
-            for _ in range(int((end - first).max()).bit_length()):  # a binary search of all keys at once
-                middle = (first + last) >> 1
-                less = (rem[np.minimum(middle, top)] < want) & (first < last)
-                first, last = np.where(less, middle + 1, first), np.where(less, last, middle)
-            found = np.flatnonzero((first < end) & (rem[np.minimum(first, top)] == want))
-            at, to = first[found], order[edges[b] : edges[b + 1]][found]
+            sub, want = (own >> np.uint64(low)).view(np.int64), own.astype(np.uint32)
+            last, end = start.take(sub).astype(np.int64) - 1, start.take(sub + 1).astype(np.int64)
+            step = 1 << int((end - last).max() - 1).bit_length() >> 1
+            while step:  # a binary search of all keys at once: last is before the key's place
+                probe = last + step
+                less = rem.take(probe, mode="clip") < want
+                less &= probe < end
+                last += less * step if step > 1 else less
+                step >>= 1
+            last += 1
+            found = np.flatnonzero((rem.take(last, mode="clip") == want) & (last < end))
+            at, to = last[found], edges[b] + found
 
             def numbers(name):
                 x = array(name)[at].astype(np.float64)
@@ -185,7 +242,7 @@ _DONE = "part string, bucket int, lang_id long, n1 long, n2 long, n3 long, n4 lo
 def sums(docs: DataFrame, rows_of, names: tuple[str, ...], what: str, once: tuple[str, ...] = (), shares: dict[str, str] | None = None) -> Sums:
     """Sums by (language, key) of what `rows_of` gives for a slice of `docs`: languages, 64-bit keys, values.
 
-    The first of `names` is the count of the counts of counts. Those of `shares` are between 0 and the value they name;
+    The first of `names` is the count of the counts of counts; no values: each key counts once. Those of `shares` are between 0 and the value they name;
     all others are rounded to whole numbers.
     """
     shares = shares or {}
@@ -198,6 +255,7 @@ def sums(docs: DataFrame, rows_of, names: tuple[str, ...], what: str, once: tupl
         roomy()
         held: list = []
         size, numbers = 0, {}
+        merged = lambda: _counted(held, len(numbers)) if any(not p[2] for p in held) else _merged(held)
 
         def sent(lang, keys, values):
             for name, number in numbers.items():
@@ -215,20 +273,21 @@ def sums(docs: DataFrame, rows_of, names: tuple[str, ...], what: str, once: tupl
         for batch in batches:
             for part in slices(batch, most=1 << 20):
                 lang, keys, values = rows_of(part)
-                distinct, inverse = np.unique(lang, return_inverse=True)
+                heads = np.flatnonzero(np.concatenate([np.ones(min(1, len(lang)), bool), lang[1:] != lang[:-1]]))
+                distinct, inverse = np.unique(lang[heads], return_inverse=True)
                 for x in distinct.tolist():
                     numbers.setdefault(x, len(numbers))
-                small = np.array([numbers[x] for x in distinct.tolist()], np.int32)[inverse] if len(lang) else np.zeros(0, np.int32)
+                small = np.repeat(np.array([numbers[x] for x in distinct.tolist()], np.int32)[inverse], np.diff(np.append(heads, len(lang)))) if len(lang) else np.zeros(0, np.int32)
                 held.append((small, keys.view(np.uint64) >> np.uint64(64 - BITS), [np.asarray(v, np.float32) for v in values]))
                 size += len(held[-1][1])
                 if size > 2 * BLOCK:
-                    held = [_merged(held)]
+                    held = [merged()]
                     size = len(held[0][1])
                     if size > BLOCK:  # bounds the worker's memory; what is sent twice is summed in its bucket
                         yield from sent(*held[0])
                         held, size = [], 0
         if held:
-            yield from sent(*_merged(held))
+            yield from sent(*merged())
         held = []
         tidy()
 
@@ -240,7 +299,7 @@ def sums(docs: DataFrame, rows_of, names: tuple[str, ...], what: str, once: tupl
         rows, kept = [], []
         for lang, parts in of.items():
             k = np.concatenate([p[0] for p in parts])
-            order = np.argsort(k)
+            order = ordering(k)
             k = k[order]
             first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
             v = [np.add.reduceat(np.concatenate(x)[order], first, dtype=np.float64) for x in zip(*(p[1] for p in parts))]

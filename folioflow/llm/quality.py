@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from folioflow.llm.common import Sorted, read_table, roomy, scratch, slices, text_buffers, write_sorted, written
 from folioflow.llm.keyed import Sums, freed, sums
-from folioflow.llm.words import groups, lines, mix, shingles, spans, take_ranges
+from folioflow.llm.words import Grouped, groups, lowered, mix, shingles, take_ranges, word_hashes, word_spans
 
 ORDER = 4
 LOWER, UPPER = 4.5, 9.0  # reach below and above the median, in standard deviations
@@ -54,8 +54,8 @@ WIDE = 3824  # code points from here on are two symbols: 3824 + code // 4096, th
 _SYMBOL = None
 
 
-def symbols(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The 12-bit symbols of code points, and how many each of them has (1 or 2)."""
+def symbols(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+    """The 12-bit symbols of code points, and how many each of them has (1 or 2; None if all have 1)."""
     global _SYMBOL
     if _SYMBOL is None:
         table = np.arange(WIDE, dtype=np.uint16)
@@ -66,12 +66,13 @@ def symbols(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         table[[0x20, *range(0x09, 0x0E), 0x85, 0xA0]] = 0x20
         table[0x30:0x3A] = 0x30
         table[:3] = 0x7F
-        _SYMBOL = table
+        _SYMBOL = table.astype(np.int64)
+    first = _SYMBOL.take(codes, mode="clip")
     wide = codes >= WIDE
-    first = np.where(wide, WIDE + (codes >> np.uint32(12)), _SYMBOL[np.minimum(codes, WIDE - 1)]).astype(np.int64)
-    n = 1 + wide.astype(np.int64)
     if not wide.any():
-        return first, n
+        return first, None
+    first = np.where(wide, WIDE + (codes >> np.uint32(12)), first).astype(np.int64)
+    n = 1 + wide.astype(np.int64)
     out = np.repeat(first, n)
     out[(np.cumsum(n) - 1)[wide]] = codes[wide] & np.uint32(4095)
     return out, n
@@ -83,20 +84,32 @@ def char_ngrams(raw: np.ndarray, offsets: np.ndarray, order: int = ORDER) -> tup
     A row begins with order - 1 start marks and an empty row has no n-gram.
     """
     codes = np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), dtype=np.uint32)
-    chars = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])[offsets]
+    n = np.diff(_char_offsets(raw, offsets))
     values, each = symbols(codes)
-    n = np.diff(np.concatenate([[0], np.cumsum(each)])[chars])
+    if each is not None:
+        n = np.diff(np.concatenate([[0], np.cumsum(each)])[_char_offsets(raw, offsets)])
     rows = np.flatnonzero(n)
-    size = np.where(n > 0, n + order, 0)
-    off = np.concatenate([[0], np.cumsum(size)])
-    line = np.full(off[-1], START, dtype=np.int64)
-    line[take_ranges(off[rows] + order - 1, n[rows])] = values
-    line[off[rows + 1] - 1] = END
-    key = line.copy()
-    for k in range(1, order):
-        key[k:] |= line[:-k] << np.int64(12 * k)
-    use = take_ranges(off[rows] + order - 1, n[rows] + 1)
-    return key[use], np.concatenate([[0], np.cumsum(np.where(n > 0, n + 1, 0))])
+    off = np.concatenate([[0], np.cumsum(np.where(n > 0, n + order, 0))])
+    marks = (off[rows][:, None] + np.arange(order - 1)).ravel()
+    ends = off[rows + 1] - 1
+    inside = np.ones(off[-1], dtype=bool)
+    inside[marks] = inside[ends] = False
+    key = np.full(off[-1], START, dtype=np.int64)
+    key[inside] = values
+    key[ends] = END
+    width = 1  # symbols in a key
+    while width < order:
+        step = min(width, order - width)
+        before = key[:-step] << np.int64(12 * step)
+        key[step:] |= before
+        width += step
+    inside[ends] = True
+    return key[inside], np.concatenate([[0], np.cumsum(np.where(n > 0, n + 1, 0))])
+
+
+def _char_offsets(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The rows' offsets in code points."""
+    return offsets - np.searchsorted(np.flatnonzero(raw.view(np.int8) < -64), offsets)
 
 
 def count_ngrams(docs: DataFrame, order: int = ORDER) -> DataFrame:
@@ -210,12 +223,39 @@ def model_files(entries: DataFrame, unseen: DataFrame) -> list[dict]:
     return write_sorted(rows.mapInArrow(keyed, "k long, logp float, back float"), "model", ("logp", "back"))
 
 
-def log_probabilities(model: Sorted, lang: np.ndarray, keys: np.ndarray, order: int = ORDER) -> np.ndarray:
-    """ln p of each packed n-gram's last symbol given the ones before, in its language's model."""
+class Recent:
+    """Log probabilities that were looked up lately: a table by hash, in which what comes later replaces what is there."""
+
+    BITS = 19
+
+    def __init__(self):
+        self.hashes = (np.arange(1 << self.BITS, dtype=np.uint64) ^ np.uint64(1)) << np.uint64(64 - self.BITS)  # none of its slot's
+        self.logs = np.zeros(1 << self.BITS)
+
+
+def log_probabilities(model: Sorted, lang: np.ndarray, keys: np.ndarray, order: int = ORDER, recent: Recent | None = None) -> np.ndarray:
+    """ln p of each packed n-gram's last symbol given the ones before, in its language's model; `recent` serves one model and order."""
     if not len(keys):
         return np.zeros(0)
     with np.errstate(over="ignore"):
-        first, inverse, _ = groups(keys.view(np.uint64) * _STEP + lang.view(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        hashed = keys.view(np.uint64) * _STEP
+        hashed += lang.view(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    if recent is None:
+        return _looked_up(model, lang, keys, hashed, order)
+    slot = (hashed >> np.uint64(64 - Recent.BITS)).view(np.int64)
+    out = recent.logs.take(slot)
+    new = np.flatnonzero(recent.hashes.take(slot) != hashed)
+    if len(new):
+        hashed, slot = hashed[new], slot[new]
+        out[new] = logs = _looked_up(model, lang[new], keys[new], hashed, order)
+        recent.hashes[slot] = hashed
+        same = recent.hashes[slot] == hashed  # where several fell into a slot, one of them stays
+        recent.logs[slot[same]] = logs[same]
+    return out
+
+
+def _looked_up(model: Sorted, lang: np.ndarray, keys: np.ndarray, hashed: np.ndarray, order: int) -> np.ndarray:
+    first, inverse, _ = groups(hashed)
     tongue, gram = lang[first], keys[first]
     out = np.zeros(len(first))
     rest = np.arange(len(first))
@@ -240,14 +280,20 @@ def log_probabilities(model: Sorted, lang: np.ndarray, keys: np.ndarray, order:
 _EDGE = mix(np.array([START, END], dtype=np.uint64), 7)
 
 
-def word_grams(column: pa.Array, lang: np.ndarray, words: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[dict[str, np.ndarray], np.ndarray]:
+def folded_words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words with A-Z lowered, and the rows' offsets."""
+    s, e, off = word_spans(raw, offsets)
+    return word_hashes(lowered(raw), s, e), off
+
+
+def word_grams(column: pa.Array, lang: np.ndarray, words: tuple[np.ndarray, np.ndarray] | None = None, of: tuple[str, ...] = ("tri", "pair", "word")) -> tuple[dict[str, np.ndarray], np.ndarray]:
     """Keys of the trigram that ends at every word and at the end mark of each row (tri), and the rows' offsets.
 
     Besides the keys of all pairs and words of the row but its first mark: tri[i] begins with pair[at[i]] and
     ends with pair[at[i] + 1], whose words are word[at[i]] and word[at[i] + 1]. A row
-    begins with two start marks; a row without words has no trigram. `row` is the row of each pair. `words`: the folded words' hashes and offsets, where known.
+    begins with two start marks; a row without words has no trigram. `row` is the row of each pair. `words`: the folded words' hashes and offsets, where known. `of`: the keys that are wanted.
     """
-    h, off = words or spans(*text_buffers(column), lower=True)[2:]
+    h, off = words or folded_words(*text_buffers(column))
     n = np.diff(off)
     rows = np.flatnonzero(n)
     line_off = np.concatenate([[0], np.cumsum(np.where(n > 0, n + 3, 0))])
@@ -256,17 +302,24 @@ def word_grams(column: pa.Array, lang: np.ndarray, words: tuple[np.ndarray, np.n
     line[line_off[rows + 1] - 1] = _EDGE[1]
     row = np.repeat(np.arange(len(n)), np.where(n > 0, n + 3, 0))
     tongue = mix(lang.view(np.uint64), 8)[row]
-    pair = line.copy()
-    pair[1:] += line[:-1] * _STEP
-    triple = line.copy()
-    triple[1:] += pair[:-1] * _STEP
     rest = np.ones(len(line), bool)
     rest[line_off[rows]] = False  # the first mark ends no pair
     use = rest.copy()
     use[line_off[rows] + 1] = False
     at = (np.cumsum(rest) - 1)[use] - 1
-    key = lambda x, k: mix(x + tongue, 50 + k).view(np.int64)
-    return {"tri": key(triple, 2)[use], "pair": key(pair, 1)[rest], "word": key(line, 0)[rest], "at": at, "row": row[rest]}, np.concatenate([[0], np.cumsum(np.where(n > 0, n + 1, 0))])
+    pair = line.copy()
+    pair[1:] += line[:-1] * _STEP
+    key = lambda x, k, where: mix(x[where] + tongue[where], 50 + k).view(np.int64)
+    out = {"at": at, "row": row[rest]}
+    if "tri" in of:
+        triple = line.copy()
+        triple[1:] += pair[:-1] * _STEP
+        out["tri"] = key(triple, 2, use)
+    if "pair" in of:
+        out["pair"] = key(pair, 1, rest)
+    if "word" in of:
+        out["word"] = key(line, 0, rest)
+    return out, np.concatenate([[0], np.cumsum(np.where(n > 0, n + 1, 0))])
 
 
 class WordModel:
@@ -285,14 +338,14 @@ def word_tables(docs: DataFrame) -> WordModel:
     occurrences gives its t-th part. Trigrams and pairs of one occurrence have no entry.
     """
 
-    def grams(part):
+    def grams(part, *of):
         lang = part.column("lang_id").to_numpy()
-        g, off = word_grams(part.column("text"), lang)
+        g, off = word_grams(part.column("text"), lang, of=of)
         return g, lang, np.repeat(np.arange(len(lang)), np.diff(off))
 
     def tri(part):
-        g, lang, row = grams(part)
-        return lang[row], g["tri"], [np.ones(len(row))]
+        g, lang, row = grams(part, "tri")
+        return lang[row], g["tri"], []
 
     threes = sums(docs, tri, ("c",), "trigrams", once=("c",))
 
@@ -301,7 +354,7 @@ def word_tables(docs: DataFrame) -> WordModel:
         return 1 / t, table.discounts(lang)[row, np.minimum(c, 3).astype(np.int64)] / t
 
     def pair(part):
-        g, lang, row = grams(part)
+        g, lang, row = grams(part, "tri", "pair")
         c3 = threes.values(g["tri"], "c", absent=1)[0]
         n = len(g["pair"])
         c, m = np.zeros(n), np.zeros(n)
@@ -311,13 +364,14 @@ def word_tables(docs: DataFrame) -> WordModel:
     twos = sums(docs, pair, ("c", "t", "m"), "pairs", once=("c", "t"), shares={"m": "t"})
 
     def word(part):
-        g, lang, row = grams(part)
+        g, lang, row = grams(part, "pair", "word")
         c2, t2 = twos.values(g["pair"][g["at"] + 1], "c", "t", absent=1)
         n = len(g["word"])
         c, t, m = np.zeros(n), np.zeros(n), np.zeros(n)
         c[g["at"] + 1], m[g["at"]] = parts(twos, lang, row, c2, t2)
         t[g["at"]] = c2 / t2
-        return lang[g["row"]], g["word"], [c, t, m]
+        first, number, _ = groups(g["word"].view(np.uint64))  # words recur within a slice
+        return lang[g["row"][first]], g["word"][first], [np.bincount(number, weights=x, minlength=len(first)) for x in (c, t, m)]
 
     return WordModel(threes, twos, sums(docs, word, ("c", "t", "m"), "words", shares={"m": "t"}))
 
@@ -329,21 +383,22 @@ def word_log_probabilities(model: WordModel, column: pa.Array, langs: np.ndarray
     if not len(g["tri"]):
         return np.zeros(0), off
     row, head = np.repeat(np.arange(len(n)), n), g["at"]
-    grouped = lambda keys, row: groups(keys.view(np.uint64) ^ mix(row.astype(np.uint64), 9))
-    first3, in3, own3 = grouped(g["tri"], row)
-    pair_at, pair_in, _ = grouped(g["pair"], g["row"])
-    word_at, word_in, _ = grouped(g["word"], g["row"])
+    by3, by2, by1 = Grouped(g["tri"].view(np.uint64), row), Grouped(g["pair"].view(np.uint64), g["row"]), Grouped(g["word"].view(np.uint64), g["row"])
+    values = lambda sums, by, *names, absent: [x[by.key] for x in sums.ordered_values(by.keys, *names, absent=absent)]
+    first3, in3, own3 = by3.at, by3.number, by3.size
+    pair_at, pair_in = by2.at, by2.number
+    word_at, word_in = by1.at, by1.number
     in2, from3, in1, from2 = pair_in[head + 1], pair_in[head], word_in[head + 1], word_in[head]
     own2 = np.bincount(from3, minlength=len(pair_at))  # texts' own occurrences of a pair at the head of a trigram
 
     def left(c, own, d, at):
-        rest = np.maximum(c - own, 0)
-        return rest, d[at, np.minimum(rest, 3).astype(np.int64)], d[at, np.minimum(c, 3).astype(np.int64)]
+        rest, at, d = np.maximum(c - own, 0), 4 * at, d.ravel()
+        return rest, d.take(at + np.minimum(rest, 3).astype(np.int64)), d.take(at + np.minimum(c, 3).astype(np.int64))
 
     threes, pairs, words = model.tri, model.pairs, model.words
-    c3, d3, d3_all = left(threes.values(g["tri"][first3], "c", absent=1)[0], own3, threes.discounts(langs), row[first3])
+    c3, d3, d3_all = left(values(threes, by3, "c", absent=1)[0], own3, threes.discounts(langs), row[first3])
     gone3 = (c3 == 0).astype(float)
-    c2, t2, m2 = pairs.values(g["pair"][pair_at], "c", "t", "m", absent=0)
+    c2, t2, m2 = values(pairs, by2, "c", "t", "m", absent=0)
     lone = c2 + t2 == 0  # no entry: one occurrence in all texts, this one
     c2[lone] = 1
     t3, m3 = t2 - own2, m2 - np.bincount(from3[first3], weights=d3_all - d3, minlength=len(pair_at))
@@ -355,7 +410,7 @@ def word_log_probabilities(model: WordModel, column: pa.Array, langs: np.ndarray
     gone2 = (c2 == 0).astype(float)
     token2 = np.zeros(len(some2), np.int64)  # a token that ends each of these pairs
     token2[place2[in2]] = np.arange(len(in2))
-    c1, t1, m1 = words.values(g["word"][word_at], "c", "t", "m", absent=0)
+    c1, t1, m1 = values(words, by1, "c", "t", "m", absent=0)
     mids = from2[token2]
     t2 = t1 - np.bincount(from2[first3], weights=gone3, minlength=len(word_at))
     m2 = m1 - np.bincount(mids, weights=d2_all - d2, minlength=len(word_at))
@@ -371,27 +426,32 @@ def word_log_probabilities(model: WordModel, column: pa.Array, langs: np.ndarray
 
     def mixed(c, d, t, m, low):
         seen = t > 0.5
-        t = np.where(seen, t, 1)
-        return np.where(seen, (c - d) / t + np.maximum(m, 0) / t * low, low)
+        return np.where(seen, (c - d + np.maximum(m, 0) * low) / np.where(seen, t, 1), low)
 
-    at1, at2 = place1[in1], place2[in2]
-    p = mixed(c1[at1], d1[at1], t1[row], m1[row], 1 / (distinct + 1)[row])
-    p = mixed(c2[at2], d2[at2], t2[from2], m2[from2], p)
-    p = mixed(c3[in3], d3[in3], t3[from3], m3[from3], p)
-    return np.log(np.maximum(p, 1e-30)), off
+    # each pair's and trigram's probability once, then that of the tokens
+    p = mixed(c1, d1, t1[rows1], m1[rows1], (1 / (distinct + 1))[rows1])
+    p = mixed(c2, d2, t2[mids], m2[mids], p[place1[in1[token2]]])
+    p = mixed(c3, d3, t3[from3[first3]], m3[from3[first3]], p[place2[in2[first3]]])
+    return np.log(np.maximum(p, 1e-30))[in3], off
 
 
 def base_counts(column: pa.Array) -> tuple[dict[str, np.ndarray], tuple[np.ndarray, np.ndarray]]:
     r"""n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of each row; and the folded words' hashes and offsets."""
     raw, offsets = text_buffers(column)
     n = len(offsets) - 1
-    folded: list[np.ndarray] = []
-    s, e, h, off = spans(raw, offsets, folded=folded)
-    total = lambda mask: np.diff(np.concatenate([[0], np.cumsum(mask)])[offsets])
-    blank = np.zeros(256, bool)
-    blank[[0x20, *range(0x09, 0x0E)]] = True
-    mark = np.zeros(256, bool)
-    mark[list(b"#*$%&|<>")] = True
+    s, e, off = word_spans(raw, offsets)
+    low = lowered(raw)
+    folded = word_hashes(low, s, e)
+    h = folded
+    if len(capital := np.flatnonzero(low != raw)):
+        capital = np.unique(np.searchsorted(s, capital, side="right") - 1)
+        h = folded.copy()
+        h[capital] = word_hashes(raw, s[capital], e[capital])
+    between = lambda mask: np.diff(np.searchsorted(np.flatnonzero(mask), offsets))
+    marks = raw - np.uint8(ord("#")) < 4  # # $ % &
+    for x in b"*|<>":
+        marks |= raw == x
+    bytes_ = np.concatenate([[0], np.cumsum(e - s)])[off]
     # words in 5-word windows that occur twice or more in their text
     row = np.repeat(np.arange(n), np.diff(off))
     start = np.flatnonzero(row[:-4] == row[4:]) if len(s) > 4 else np.zeros(0, np.int64)
@@ -402,20 +462,37 @@ def base_counts(column: pa.Array) -> tuple[dict[str, np.ndarray], tuple[np.ndarr
     twice = times[number] > 1
     edge = np.bincount(start[twice], minlength=len(s) + 1) - np.bincount(start[twice] + 5, minlength=len(s) + 1)
     covered = np.concatenate([[0], np.cumsum(np.cumsum(edge[:-1]) > 0)])
-    # lines that hold a word and equal an earlier one
-    ls, le, lh, line_off = lines(raw, offsets)
-    words_before = np.searchsorted(s, ls), np.searchsorted(s, le)
-    keep = np.flatnonzero(words_before[1] > words_before[0])
-    lrow = np.repeat(np.arange(n), np.diff(line_off))[keep]
-    order = np.lexsort((lh[keep], lrow))
-    again = (lh[keep][order][1:] == lh[keep][order][:-1]) & (lrow[order][1:] == lrow[order][:-1])
     return {
         "n_words": np.diff(off),
-        "word_chars": total(~blank[raw] & ((raw & 0xC0) != 0x80)),
-        "n_symbols": total(mark[raw]),
-        "n_dup_lines": np.bincount(lrow[order][1:][again], minlength=n),
+        "word_chars": np.diff(bytes_) - between(raw.view(np.int8) < -64),
+        "n_symbols": between(marks),
+        "n_dup_lines": repeated_lines(raw, offsets, s, e),
         "n_repeat_words": covered[off[1:]] - covered[off[:-1]],
-    }, (np.concatenate(folded) if folded else np.zeros(0, np.uint64), off)
+    }, (folded, off)
+
+
+def repeated_lines(raw: np.ndarray, offsets: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """Of each row the lines that hold a word and equal an earlier one of it; s, e: the words.
+
+    Only lines that share length and first eight bytes with another of their row are hashed whole.
+    """
+    breaks = np.flatnonzero(raw == 0x0A)
+    edges = np.sort(np.concatenate([breaks, breaks + 1, offsets]))  # between two of them lies a line, a break or nothing
+    ls, le = edges[:-1], edges[1:]
+    holds = np.searchsorted(s, le) > np.searchsorted(s, ls)
+    ls, le = ls[holds], le[holds]
+    n = len(offsets) - 1
+    lrow = np.searchsorted(offsets, ls, side="right") - 1
+    head = word_hashes(raw, ls, np.minimum(le, ls + 8)) + mix((le - ls).astype(np.uint64), 5) + mix(lrow.astype(np.uint64), 6)
+    _, number, times = groups(head)
+    like = np.flatnonzero(times[number] > 1)
+    if not len(like):
+        return np.zeros(n, np.int64)
+    lrow = lrow[like]
+    lh = word_hashes(raw, ls[like], le[like])
+    order = np.lexsort((lh, lrow))
+    again = (lh[order][1:] == lh[order][:-1]) & (lrow[order][1:] == lrow[order][:-1])
+    return np.bincount(lrow[order][1:][again], minlength=n)
 
 
 def quality_rules(docs: DataFrame, order: int = ORDER, below: float = LOWER, above: float = UPPER) -> DataFrame:
@@ -431,13 +508,13 @@ def quality_rules(docs: DataFrame, order: int = ORDER, below: float = LOWER, abo
 
     def score(batches):
         roomy()
-        model = Sorted(files)
+        model, recent = Sorted(files), Recent()
         for batch in batches:
             for part in slices(batch, most=1 << 20):
                 counts, folded = base_counts(part.column("text"))
                 keys, off = char_ngrams(*text_buffers(part.column("text")), order)
                 lang = np.repeat(part.column("lang_id").to_numpy(), np.diff(off))
-                logs = np.concatenate([[0.0], np.cumsum(log_probabilities(model, lang, keys, order))])
+                logs = np.concatenate([[0.0], np.cumsum(log_probabilities(model, lang, keys, order, recent))])
                 n = np.diff(off)
                 mean = (logs[off[1:]] - logs[off[:-1]]) / np.maximum(n, 1)
                 word_logs, word_off = word_log_probabilities(word_model, part.column("text"), part.column("lang_id").to_numpy(), folded)

@@ -70,12 +70,11 @@ def _cut(raw: np.ndarray, start: int, separator: np.ndarray) -> int:
     return len(raw)
 
 
-def spans(raw: np.ndarray, offsets: np.ndarray, *, separator: np.ndarray = _SPACE, lower: bool = False, classes: np.ndarray | None = None, folded: list | None = None):
+def spans(raw: np.ndarray, offsets: np.ndarray, *, separator: np.ndarray = _SPACE, lower: bool = False, classes: np.ndarray | None = None):
     """Maximal runs of bytes that aren't separators, within each row; with `classes`, runs of one
     class (0 separates, 2 is never joined).
 
-    Returns starts, ends (bytes), hashes (uint64) and the n+1 offsets of each row's runs. To a list `folded` the hashes
-    with A-Z lowered are added.
+    Returns starts, ends (bytes), hashes (uint64) and the n+1 offsets of each row's runs.
     Segments of a quarter of a megabyte bound the memory, whatever a text's length; a segment ends
     after a separator.
     """
@@ -103,8 +102,6 @@ def spans(raw: np.ndarray, offsets: np.ndarray, *, separator: np.ndarray = _SPAC
         s = np.flatnonzero(opens)
         e = np.flatnonzero(~gap & after) + 1
         all_h.append(_span_hashes(piece, s, e, lower))
-        if folded is not None:
-            folded.append(_span_hashes(piece, s, e, True))
         all_s.append(s + start)
         all_e.append(e + start)
         start = end
@@ -115,6 +112,59 @@ def spans(raw: np.ndarray, offsets: np.ndarray, *, separator: np.ndarray = _SPAC
     return s, np.concatenate(all_e), np.concatenate(all_h), np.searchsorted(s, offsets)
 
 
+def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words of each row and the rows' offsets, as `spans` finds them, without hashes."""
+    if not len(raw):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
+    word = raw - np.uint8(9) > 4
+    word &= raw != 0x20
+    edge = np.empty(len(raw) + 1, dtype=bool)  # the byte before isn't of the same word
+    edge[0] = edge[-1] = True
+    np.logical_not(word[:-1], out=edge[1:-1])
+    edge[offsets] = True
+    s = np.flatnonzero(word & edge[:-1])
+    edge[1:-1] = ~word[1:]
+    edge[offsets] = True
+    e = np.flatnonzero(word & edge[1:]) + 1
+    return s, e, np.searchsorted(s, offsets)
+
+
+def lowered(raw: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z as a-z."""
+    return raw + ((raw - np.uint8(65) < 26).view(np.uint8) << np.uint8(5))
+
+
+LONG = 64  # bytes from which on a word's hash is that of its bytes' polynomial
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+
+
+def word_hashes(raw: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the bytes from each s to its e (one byte at least), eight bytes a step; other ones than those of `spans`."""
+    if not len(s):
+        return np.zeros(0, np.uint64)
+    padded = np.zeros(len(raw) + 8, np.uint8)
+    padded[: len(raw)] = raw
+    eight = np.ndarray((len(raw) + 1,), np.uint64, padded, 0, (1,))  # the eight bytes from each place on
+    n = e - s
+    with np.errstate(over="ignore"):
+        h = mix((eight[s] & _LOW_BYTES[np.minimum(n, 8)]) ^ (n.astype(np.uint64) * _U(_B)), 2)
+        long = n > LONG
+        rest = np.flatnonzero((n > 8) & ~long)
+        for k in range(8, LONG, 8):
+            if not len(rest):
+                break
+            h[rest] = mix(h[rest] + (eight[s[rest] + k] & _LOW_BYTES[np.minimum(n[rest] - k, 8)]) * _U(_B), 3)
+            rest = rest[n[rest] > k + 8]
+        if long.any():
+            own = np.flatnonzero(long)
+            off = np.concatenate([[0], np.cumsum(n[own])])
+            b = 0
+            while b < len(own):
+                a, b = b, max(b + 1, int(np.searchsorted(off, off[b] + SEGMENT, side="right")) - 1)
+                h[own[a:b]] = mix(_span_hashes(raw[take_ranges(s[own[a:b]], n[own[a:b]])], off[a:b] - off[a], off[a + 1 : b + 1] - off[a], False), 4)
+    return h
+
+
 _NEWLINE = np.zeros(256, dtype=bool)
 _NEWLINE[0x0A] = True
 
@@ -167,6 +217,34 @@ def sorting(keys: np.ndarray) -> np.ndarray:
     return (both & mask).astype(np.int64)
 
 
+class Grouped:
+    """Hashed keys (uint64) by key and row, from one sort; `row` ascends.
+
+    keys: the distinct keys in order. Of each (key, row): key (its number), at (a place), size. number: the group of each place.
+    """
+
+    def __init__(self, keys: np.ndarray, row: np.ndarray):
+        n = len(keys)
+        order = sorting(keys) if n <= 1 << 20 else np.argsort(keys, kind="stable")
+        ordered = keys[order]
+        apart = ordered[1:] ^ ordered[:-1]
+        if n <= 1 << 20 and ((apart != 0) & (apart < 1 << 20)).any():  # may be told apart by bits that didn't sort
+            order = np.argsort(keys, kind="stable")
+            ordered = keys[order]
+            apart = ordered[1:] ^ ordered[:-1]
+        new_key, new = np.ones(n, dtype=bool), np.ones(n, dtype=bool)
+        new_key[1:] = apart != 0
+        rows = row[order]
+        new[1:] = new_key[1:] | (rows[1:] != rows[:-1])
+        at = np.flatnonzero(new)
+        self.keys = ordered[new_key]
+        self.key = np.cumsum(new_key[at]) - 1
+        self.at = order[at]
+        self.size = np.diff(np.append(at, n))
+        self.number = np.empty(n, dtype=np.int64)
+        self.number[order] = np.repeat(np.arange(len(at)), self.size)
+
+
 def groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of hashed keys: a place for each distinct one, the number of each key's group, and the groups' sizes."""
     order = sorting(keys)
