@@ -1,6 +1,7 @@
 """Connected components of characters and words on a page, and lines anchored to their first member.
 
-A page is a group; inside it all is done on arrays. Pairs are formed among neighbours along one axis alone.
+A page is a group; inside it all is done on arrays. Pairs are formed among neighbours in both coordinates, so that their number
+follows that of the rows, not its square.
 """
 
 from __future__ import annotations
@@ -15,14 +16,47 @@ from pyspark.sql import functions as F
 KEYS = ("doc_id", "page")
 
 
-def neighbours(along: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs (i, j) whose values differ by at most `reach`, each once."""
-    order = np.argsort(along, kind="stable")
-    ends = np.searchsorted(along[order], along[order] + reach, side="right")
-    count = np.maximum(ends - np.arange(len(order)) - 1, 0)
-    left = np.repeat(np.arange(len(order)), count)
-    right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(count) - count, count)
-    return order[left], order[right]
+def _ranges(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(i, k) for each i and all k with low[i] <= k < high[i]."""
+    count = np.maximum(high - low, 0)
+    left = np.repeat(np.arange(len(low)), count)
+    return left, np.arange(len(left)) - np.repeat(np.cumsum(count) - count - low, count)
+
+
+def _rows(across: np.ndarray, band: float) -> np.ndarray:
+    """Numbers of bands: values at most `band` apart lie in one band or in two that touch."""
+    return np.floor((across - across.min()) / (band * (1 + 1e-9))).astype(np.int64)
+
+
+def near_pairs(along: np.ndarray, across: np.ndarray, reach: float, band: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) whose `along` differ by at most `reach`, each once: all of those whose `across` differ by at most `band`, few others."""
+    if len(along) < 2:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    row = _rows(across, max(band, 1e-9))
+    ranked = np.lexsort((along, row))
+    span = float(along.max() - along.min()) + 2 * reach + 1
+    key = (along - along.min())[ranked] + row[ranked] * span
+    slack = 1e-9 * (1 + abs(float(key[-1])))
+    i, j = _ranges(np.arange(len(key)) + 1, np.searchsorted(key, key + reach + slack, side="right"))
+    above = _ranges(np.searchsorted(key, key + span - reach - slack), np.searchsorted(key, key + span + reach + slack, side="right"))
+    i, j = ranked[np.concatenate([i, above[0]])], ranked[np.concatenate([j, above[1]])]
+    near = np.maximum(along[i], along[j]) <= np.minimum(along[i], along[j]) + reach
+    return i[near], j[near]
+
+
+def follow_pairs(end: np.ndarray, begin: np.ndarray, across: np.ndarray, low: float, high: float, band: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j), i not j, with begin[j] - end[i] between `low` and `high`: all of those whose `across` differ by at most `band`, few others."""
+    if len(end) < 2:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    row = _rows(across, band)
+    ranked = np.lexsort((begin, row))
+    least = min(float(begin.min()), float(end.min()))
+    span = max(float(begin.max()), float(end.max())) - least + max(abs(low), abs(high)) + 1
+    key, at = (begin - least)[ranked] + row[ranked] * span, (end - least) + row * span
+    slack = 1e-9 * (1 + abs(float(key[-1])) + span)
+    found = [_ranges(np.searchsorted(key, at + d * span + low - slack), np.searchsorted(key, at + d * span + high + slack, side="right")) for d in (-1, 0, 1)]
+    i, j = np.concatenate([f[0] for f in found]), ranked[np.concatenate([f[1] for f in found])]
+    return i[i != j], j[i != j]
 
 
 def least_reachable(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -56,6 +90,31 @@ def _by_seed(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def char_roots(x, y, w, h, size, eps: float, line_share: float) -> np.ndarray:
+    """For each character the first one of its word."""
+    cx, cy = x + w / 2, y + h / 2
+    i, j = near_pairs(cx, cy, eps, line_share * float(size.max(initial=0.0)))
+    dy = np.abs(cy[i] - cy[j])
+    there, back = dy < line_share * size[i], dy < line_share * size[j]
+    if (there == back).all():
+        return least_reachable(len(x), i[there], j[there])
+    return _by_seed(len(x), np.concatenate([i[there], j[back]]), np.concatenate([j[there], i[back]]))
+
+
+def euclid_roots(x, y, w, h, eps: float) -> np.ndarray:
+    cx, cy = x + w / 2, y + h / 2
+    i, j = near_pairs(cx, cy, eps, eps)
+    near = np.hypot(cx[i] - cx[j], cy[i] - cy[j]) <= eps
+    return least_reachable(len(x), i[near], j[near])
+
+
+def word_roots(x, y, w, tolerance: float, most: float) -> np.ndarray:
+    """For each word the first one of its line."""
+    i, j = follow_pairs(x + w, x, y, -most, most, tolerance)
+    near = (np.maximum(y[i], y[j]) <= np.minimum(y[i], y[j]) + tolerance) & (np.abs(x[i] + w[i] - x[j]) < most)
+    return least_reachable(len(x), i[near], j[near])
+
+
 def _clustered(df: DataFrame, keys, columns: list[str], order: list[str], find: Callable, name: str) -> DataFrame:
     """Adds `name`: clusters numbered from 0 by their first member in `order`."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
@@ -73,13 +132,7 @@ def char_clusters(chars: DataFrame, keys=KEYS, eps: float = 8.0, line_share: flo
     and less than `line_share` of the size of the character reached from apart in height."""
 
     def find(x, y, w, h, size, *own):
-        cx, cy = x + w / 2, y + h / 2
-        i, j = neighbours(cx, float(own[0][0]) if own else eps)
-        dy = np.abs(cy[i] - cy[j])
-        there, back = dy < line_share * size[i], dy < line_share * size[j]
-        if (there == back).all():
-            return least_reachable(len(x), i[there], j[there])
-        return _by_seed(len(x), np.concatenate([i[there], j[back]]), np.concatenate([j[there], i[back]]))
+        return char_roots(x, y, w, h, size, float(own[0][0]) if own else eps, line_share)
 
     order = ["sequence", *(["i"] if "i" in chars.columns else [])]
     return _clustered(chars, keys, ["x", "y", "width", "height", "font_size", *([eps_column] if eps_column else [])], order, find, "word")
@@ -89,10 +142,7 @@ def char_clusters_euclid(chars: DataFrame, keys=KEYS, eps: float = 8.0) -> DataF
     """Adds `word`: characters whose centres are at most `eps` apart, and what they connect."""
 
     def find(x, y, w, h):
-        cx, cy = x + w / 2, y + h / 2
-        i, j = neighbours(cx, eps)
-        near = np.hypot(cx[i] - cx[j], cy[i] - cy[j]) <= eps
-        return least_reachable(len(x), i[near], j[near])
+        return euclid_roots(x, y, w, h, eps)
 
     return _clustered(chars, keys, ["x", "y", "width", "height"], ["sequence", *(["i"] if "i" in chars.columns else [])], find, "word")
 
@@ -101,9 +151,7 @@ def word_clusters(words: DataFrame, keys=KEYS, tolerance: float = 5.0, most: flo
     """Adds `line`: words at most `tolerance` apart in height whose nearest edges are less than `most` apart, and what they connect."""
 
     def find(x, y, w):
-        i, j = neighbours(y, tolerance)
-        apart = np.minimum(np.abs(x[i] + w[i] - x[j]), np.abs(x[j] + w[j] - x[i]))
-        return least_reachable(len(x), i[apart < most], j[apart < most])
+        return word_roots(x, y, w, tolerance, most)
 
     return _clustered(words, keys, ["x", "y", "width"], ["sequence"], find, "line")
 
