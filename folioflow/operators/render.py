@@ -39,7 +39,11 @@ def markdown_pages(spans: DataFrame, keys=KEYS, *, links: bool = True, tolerance
     text = lines.groupBy(*keys, "line").agg(F.sort_array(F.collect_list(F.struct("run", "t"))).alias("l"), F.min("level").alias("level"))
     whole = F.array_join(F.col("l.t"), " ")
     whole = F.when(F.col("level").isNotNull(), F.concat(F.repeat(F.lit("#"), F.col("level")), F.lit(" "), whole, F.lit("\n"))).otherwise(whole)
-    page = _joined(text, keys, "line", whole, "\n", "markdown")
+    return shown_markdown(_joined(text, keys, "line", whole, "\n", "markdown"), links=links)
+
+
+def shown_markdown(page: DataFrame, *, links: bool = True) -> DataFrame:
+    """Pages of lines with their links, cleaned."""
     shown = T.dash_spacing("markdown")
     return page.withColumn("markdown", T.cleanup_markdown(T.markdown_links(shown) if links else shown))
 
