@@ -66,10 +66,20 @@ def semantic_html(spans: DataFrame, keys=KEYS) -> DataFrame:
     blocks = paragraphs(order.html(spans, keys), keys)
     listed = blocks.groupBy(*keys, "par").agg(F.sort_array(F.collect_list(F.struct("rank", "before", "text"))).alias("l"), F.min_by("font_size", "rank").alias("size"), F.min_by("bold", "rank").alias("bold"))
     level = heading_level(heading_class("size", "bold"))
-    tag = F.coalesce(F.concat(F.lit("h"), level.cast("string")), F.lit("p"))
-    body = T.linkify_html(F.array_join(F.transform("l", lambda t: F.concat(t["before"], t["text"])), ""))
-    bold = F.when(level.isNull() & F.col("bold"), F.concat(F.lit("<strong>"), body, F.lit("</strong>"))).otherwise(body)
-    return _joined(listed, keys, "par", F.concat(F.lit("<"), tag, F.lit(">"), bold, F.lit("</"), tag, F.lit(">")), "\n", "html")
+    body = F.array_join(F.transform("l", lambda t: F.concat(t["before"], t["text"])), "")
+    return _joined(listed, keys, "par", _html_block(level, F.col("bold"), body), "\n", "html")
+
+
+def _html_block(level: Column, bold: Column, body: Column) -> Column:
+    tag, body = F.coalesce(F.concat(F.lit("h"), level.cast("string")), F.lit("p")), T.linkify_html(body)
+    marked = F.when(level.isNull() & bold, F.concat(F.lit("<strong>"), body, F.lit("</strong>"))).otherwise(body)
+    return F.concat(F.lit("<"), tag, F.lit(">"), marked, F.lit("</"), tag, F.lit(">"))
+
+
+def html_of_blocks(pages: DataFrame) -> DataFrame:
+    """`blocks` (level, bold, body), in order, as `html`."""
+    shown = F.transform("blocks", lambda b: _html_block(b["level"], b["bold"], b["body"]))
+    return pages.withColumn("html", F.array_join(shown, "\n")).drop("blocks")
 
 
 def formatted_chars(chars: DataFrame, keys=KEYS) -> DataFrame:
