@@ -33,14 +33,16 @@ def near_pairs(along: np.ndarray, across: np.ndarray, reach: float, band: float)
     if len(along) < 2:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     row = _rows(across, max(band, 1e-9))
-    ranked = np.lexsort((along, row))
     span = float(along.max() - along.min()) + 2 * reach + 1
-    key = (along - along.min())[ranked] + row[ranked] * span
+    key = (along - along.min()) + row * span
+    ranked = np.argsort(key, kind="stable")
+    key = key[ranked]
     slack = 1e-9 * (1 + abs(float(key[-1])))
     i, j = _ranges(np.arange(len(key)) + 1, np.searchsorted(key, key + reach + slack, side="right"))
     above = _ranges(np.searchsorted(key, key + span - reach - slack), np.searchsorted(key, key + span + reach + slack, side="right"))
     i, j = ranked[np.concatenate([i, above[0]])], ranked[np.concatenate([j, above[1]])]
-    near = np.maximum(along[i], along[j]) <= np.minimum(along[i], along[j]) + reach
+    a, b = along[i], along[j]
+    near = np.maximum(a, b) <= np.minimum(a, b) + reach
     return i[near], j[near]
 
 
